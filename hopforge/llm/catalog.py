@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hopforge.llm.line_dedup import OP5_SQL, op5_perfect_hash_lines
 from hopforge.llm.sharding import op7_sampled_splitters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        op5_perfect_hash_lines,
         op7_sampled_splitters,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {, "op5_perfect_hash_lines": OP5_SQL}

@@ -60,3 +60,25 @@ def groups_of(batches, key: int):
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield current, pa.Table.from_batches(held)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns that an operator is about to add."""
+    mine = {n.lower() for n in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in mine])
+
+
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A bijective scrambling of 64-bit words (the SplitMix64 finaliser)."""
+    z = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
