@@ -19,4 +19,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {, "op5_perfect_hash_lines": OP5_SQL}
+    return {
+        "op5_perfect_hash_lines": OP5_SQL,
+    }
