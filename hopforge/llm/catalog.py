@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hopforge.llm.line_dedup import OP5_SQL, op5_perfect_hash_lines
+from hopforge.llm.packing import op4_sum_of_squares
 from hopforge.llm.secret_scan import op6_randomness_battery
 from hopforge.llm.sharding import op7_sampled_splitters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        op4_sum_of_squares,
         op5_perfect_hash_lines,
         op6_randomness_battery,
         op7_sampled_splitters,
