@@ -10,10 +10,12 @@ from hopforge.llm.line_dedup import OP5_SQL, op5_perfect_hash_lines
 from hopforge.llm.packing import op4_sum_of_squares
 from hopforge.llm.secret_scan import op6_randomness_battery
 from hopforge.llm.sharding import op7_sampled_splitters
+from hopforge.llm.simhash import op3_multi_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        op3_multi_index,
         op4_sum_of_squares,
         op5_perfect_hash_lines,
         op6_randomness_battery,
