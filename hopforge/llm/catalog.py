@@ -11,6 +11,7 @@ from hopforge.llm.packing import op4_sum_of_squares
 from hopforge.llm.secret_scan import op6_randomness_battery
 from hopforge.llm.sharding import op7_sampled_splitters
 from hopforge.llm.simhash import op3_multi_index
+from hopforge.llm.substring_dedup import OP9_SQL, op9_count_min
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,11 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_perfect_hash_lines,
         op6_randomness_battery,
         op7_sampled_splitters,
+        op9_count_min,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_count_min": OP9_SQL,
         "op5_perfect_hash_lines": OP5_SQL,
     }
