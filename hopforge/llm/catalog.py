@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hopforge.llm.line_dedup import OP5_SQL, op5_perfect_hash_lines
 from hopforge.llm.packing import op4_sum_of_squares
+from hopforge.llm.quality import OP1_SQL, op1_line_frequency
 from hopforge.llm.secret_scan import op6_randomness_battery
 from hopforge.llm.sharding import op7_sampled_splitters
 from hopforge.llm.simhash import op3_multi_index
@@ -16,6 +17,7 @@ from hopforge.llm.substring_dedup import OP9_SQL, op9_count_min
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        op1_line_frequency,
         op3_multi_index,
         op4_sum_of_squares,
         op5_perfect_hash_lines,
@@ -28,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_frequency": OP1_SQL,
         "op9_count_min": OP9_SQL,
         "op5_perfect_hash_lines": OP5_SQL,
     }
