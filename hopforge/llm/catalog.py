@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hopforge.llm.chat import op2_template_compiler
 from hopforge.llm.line_dedup import OP5_SQL, op5_perfect_hash_lines
 from hopforge.llm.packing import op4_sum_of_squares
 from hopforge.llm.quality import OP1_SQL, op1_line_frequency
@@ -18,6 +19,7 @@ from hopforge.llm.substring_dedup import OP9_SQL, op9_count_min
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_frequency,
+        op2_template_compiler,
         op3_multi_index,
         op4_sum_of_squares,
         op5_perfect_hash_lines,
