@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hopforge.llm.chat import op2_template_compiler
+from hopforge.llm.decontamination import op8_q_gram_lemma
 from hopforge.llm.line_dedup import OP5_SQL, op5_perfect_hash_lines
 from hopforge.llm.packing import op4_sum_of_squares
 from hopforge.llm.quality import OP1_SQL, op1_line_frequency
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_perfect_hash_lines,
         op6_randomness_battery,
         op7_sampled_splitters,
+        op8_q_gram_lemma,
         op9_count_min,
     ]
     return {f.__name__: f for f in found}
