@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hopforge.llm.chat import op2_template_compiler
 from hopforge.llm.decontamination import op8_q_gram_lemma
 from hopforge.llm.line_dedup import OP5_SQL, op5_perfect_hash_lines
+from hopforge.llm.lm_scoring import op10_pseudo_likelihood
 from hopforge.llm.packing import op4_sum_of_squares
 from hopforge.llm.quality import OP1_SQL, op1_line_frequency
 from hopforge.llm.secret_scan import op6_randomness_battery
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_sampled_splitters,
         op8_q_gram_lemma,
         op9_count_min,
+        op10_pseudo_likelihood,
     ]
     return {f.__name__: f for f in found}
 
