@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -82,3 +83,18 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared checkpoint folder and read again, and the path."""
+    spark = df.sparkSession
+    cut(spark.range(0))  # makes sure of the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` has written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
