@@ -1 +1 @@
-
+"""Column functions: vectors and reproducible random order."""

@@ -1 +1 @@
-
+"""Readers and writers of tables and of raw little-endian vector files."""
