@@ -23,5 +23,5 @@ def lp_split(edges: DataFrame, share: float, seed: int = 42) -> DataFrame:
 def lp_negatives(split: DataFrame, n_nodes: int, per_edge: int, seed: int = 42) -> DataFrame:
     """(split, src, dst, k, neg_dst): one negative per training edge, per_edge for the others."""
     wanted = F.when(F.col("split") == "train", 1).otherwise(per_edge)
-    each = split.select("*", F.explode(F.sequence(F.lit(1), wanted)).cast("long").alias("k"))
+    each = split.select("*", F.explode(F.sequence(F.lit(1).cast("long"), wanted.cast("long"))).alias("k"))
     return each.withColumn("neg_dst", draw(n_nodes, F.lit(seed), "src", "dst", "k"))

@@ -46,6 +46,12 @@ def smoothed(edges: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     return nodes
 
 
+def _added(parts: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Sums of n, loss and the vector g. A row per entry: the size of the weights, whatever the number of rows."""
+    summed = parts.select("n", "loss", F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("loss").alias("loss")).toPandas().sort_values("at")
+    return int(summed["n"].iloc[0]), float(summed["loss"].iloc[0]), summed["g"].to_numpy()
+
+
 def softmax_head(rows: DataFrame, classes: int, epochs: int = 10, rate: float = 0.05, decay: float = 5e-4, reset_every: int | None = None) -> tuple[np.ndarray, list[float]]:
     """(weights, loss per epoch) of a linear softmax classifier on (x, label) rows.
 
@@ -80,9 +86,8 @@ def softmax_head(rows: DataFrame, classes: int, epochs: int = 10, rate: float =
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([total.ravel().tolist()])], names=["n", "loss", "g"])
 
         parts = held.mapInArrow(gradient, "n long, loss double, g array<double>")
-        # One vector of the weights' size, whatever the number of rows.
-        n, loss, g = parts.agg(F.sum("n"), F.sum("loss"), V.sum_of("g", w.size)).first()
-        w = adam.step(w, np.array(g).reshape(w.shape) / n)
+        n, loss, g = _added(parts)
+        w = adam.step(w, g.reshape(w.shape) / n)
         losses.append(loss / n)
     return w, losses
 
@@ -116,11 +121,8 @@ def sage_epoch(rows: DataFrame, weights: list[np.ndarray]) -> tuple[list[np.ndar
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([flat])], names=["n", "loss", "g"])
 
     parts = rows.select("x", "m", F.col("label").cast("long")).mapInArrow(gradient, "n long, loss double, g array<double>")
-    summed = parts.select("n", "loss", F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("loss").alias("loss")).toPandas().sort_values("at")
-    if not len(summed):
-        return [np.zeros_like(w) for w in weights], 0.0, 0
-    n, loss = int(summed["n"].iloc[0]), float(summed["loss"].iloc[0])
-    pieces = np.split(summed["g"].to_numpy() / max(n, 1), np.cumsum(sizes)[:-1])
+    n, loss, g = _added(parts)
+    pieces = np.split(g / max(n, 1), np.cumsum(sizes)[:-1])
     return [p.reshape(w.shape) for p, w in zip(pieces, weights, strict=True)], loss / max(n, 1), n
 
 
