@@ -56,7 +56,7 @@ def save(done: Partitioned, path: str) -> None:
 def schedule(done: Partitioned, epochs: int) -> DataFrame:
     """(step, epoch, part): the same path in each epoch."""
     n = done.manifest.count()  # one row a part
-    each = done.manifest.select("part", "seq", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).cast("long").alias("epoch"))
+    each = done.manifest.select("part", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("epoch"))
     return each.select((F.col("epoch") * n + F.col("seq")).alias("step"), "epoch", "part")
 
 
