@@ -111,22 +111,24 @@ def _class(n: Column) -> Column:
 
 
 def discovery_bins(counts: list[tuple[int, int, int]], level: float) -> dict[int, int]:
-    """The least bin that each length class may report, by the step-up rule on binned p-values.
+    """The least bin that each length class may report: the weighted step-up rule on binned p-values.
 
-    counts: (class, bin, tokens). A class gets a share of the level that
-    doubles from one class to the next longer one: longer tokens tell more.
+    counts: (class, bin, tokens). A token's weight doubles from one length
+    class to the next longer one, as longer tokens tell more, and weights
+    average one over all tokens. A bin counts with its largest p-value, so
+    the control is on the safe side.
     """
-    share = {i: 2.0**i / (2.0 ** len(CLASSES) - 1) for i in range(len(CLASSES))}
-    total = sum(c for _, _, c in counts)
-    out = {}
-    for i in range(len(CLASSES)):
-        mine = {b: c for k, b, c in counts if k == i}
-        below = 0
-        for b in sorted(mine, reverse=True):
-            below += mine[b]
-            largest_p = 10 ** (-b / PER_DECADE)
-            if largest_p * total <= level * share[i] * len(CLASSES) * below:
-                out[i] = b
+    total = sum(n for _, _, n in counts)
+    scale = sum(2.0**k * n for k, _, n in counts)
+    limit = lambda k, found: 2.0**k * total / scale * level * found / total
+    found, before = total, None
+    while found and found != before:
+        before = found
+        found = sum(n for k, b, n in counts if 10 ** (-b / PER_DECADE) <= limit(k, before))
+    out: dict[int, int] = {}
+    for k, b, _ in counts:
+        if found and 10 ** (-b / PER_DECADE) <= limit(k, found):
+            out[k] = min(b, out.get(k, b))
     return out
 
 
