@@ -12,28 +12,45 @@ the average.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.llm.support import table, texts
+from hopforge.llm.support import cut, table, texts
 
 #: Words with a slot of their own, hashed slots, classes, embedding and hidden width, tokens on each side.
 WORDS, HASHED, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 1024, 64, 16, 48, 3
 #: Rounds of training, one token in STRIDE is a target, targets per step, step size.
 ROUNDS, STRIDE, BATCH, RATE = 2, 8, 512, 0.05
+#: Words that a worker remembers the slots of before it starts anew.
+KNOWN = 500_000
 #: Parameters are averaged as whole numbers of this fraction, so that the order of addition doesn't matter.
 GRAIN = 1 << 24
 
 
+class _Slots(dict):
+    """Slots of words; hashed ones are worked out when first asked for."""
+
+    def __init__(self, slot: dict[bytes, int], base: int):
+        super().__init__(slot)
+        self.base = base
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = self.base + xxhash.xxh3_64_intdigest(word) % HASHED
+        return out
+
+
 class Vocabulary:
     """Word to slot, slot to class, and the slot's log share of its class. Slot 0 stands outside the text."""
 
     def __init__(self, ranked: list[bytes], counts: list[int], hashed_counts: list[int]):
         self.data = (ranked, counts, hashed_counts)
         self.slot = {w: i + 1 for i, w in enumerate(ranked)}
+        self.known = _Slots(self.slot, len(ranked) + 1)
         self.words, self.size = len(ranked), 1 + len(ranked) + HASHED
         mass = np.array([0, *counts, *hashed_counts], np.float64)
         mass[1:] += 0.5
@@ -43,8 +60,9 @@ class Vocabulary:
         self.share = np.log(np.maximum(mass, 0.5) / np.maximum(whole[self.classes], 0.5))
 
     def slots(self, words: list[bytes]) -> np.ndarray:
-        find, base = self.slot.get, self.words + 1
-        return np.fromiter((find(w) or base + xxhash.xxh3_64_intdigest(w) % HASHED for w in words), np.int64, len(words))
+        if len(self.known) > KNOWN:
+            self.known = _Slots(self.slot, self.words + 1)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 class Network:
@@ -71,6 +89,29 @@ class Network:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True)), h, x
 
+    def scorer(self):
+        """A function from slots with SIDE more on each side to log-probabilities of given classes.
+
+        The first layer is linear in each neighbour's embedding, so what each
+        slot adds at each place of the window is worked out once.
+        """
+        added = [self.embed @ self.w1[k * WIDTH : (k + 1) * WIDTH] for k in range(2 * SIDE)]
+        shifts = [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]
+
+        def run(padded: np.ndarray, target: np.ndarray) -> np.ndarray:
+            n = len(target)
+            h = added[0][padded[:n]]
+            for a, shift in zip(added[1:], shifts[1:], strict=True):
+                h += a[padded[shift : shift + n]]
+            h += self.b1
+            z = np.tanh(h, out=h) @ self.w2
+            z += self.b2
+            z -= z.max(1, keepdims=True)
+            own = z[np.arange(n), target].astype(np.float64)
+            return own - np.log(np.exp(z, out=z).sum(1))
+
+        return run
+
     def step(self, window: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
         """One AdaGrad step on the mean cross-entropy of the targets' classes."""
         lp, h, x = self.log_probs(window)
@@ -101,7 +142,7 @@ def count_words(docs: DataFrame) -> Vocabulary:
     """The vocabulary of a corpus; at most WORDS + HASHED rows reach the driver."""
 
     def count(batches):
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
 
         def rows():
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -110,13 +151,12 @@ def count_words(docs: DataFrame) -> Vocabulary:
 
         for batch in batches:
             for text in texts(batch.column(0)):
-                for w in (text or b"").lower().split():
-                    held[w] = held.get(w, 0) + 1
+                held.update((text or b"").lower().split())
                 if len(held) > 200_000:
                     yield rows()
         yield rows()
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     ranked, n = [bytes(r[0]) for r in top], [r[1] for r in top]
     known = set(ranked)
@@ -199,17 +239,16 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
     words, flat, size = sc.broadcast(vocabulary.data), sc.broadcast(network.flat), vocabulary.size
 
     def run(batches):
-        net, vocab = Network(size, flat.value), Vocabulary(*words.value)
+        logs, vocab = Network(size, flat.value).scorer(), Vocabulary(*words.value)
+        outside = np.zeros(SIDE, np.int64)
         for batch in batches:
             n, total = [], []
             for text in texts(batch.column(1)):
                 slots = vocab.slots((text or b"").lower().split())
-                held = 0.0
-                for lo in range(0, len(slots), 8192):
-                    at = np.arange(lo, min(len(slots), lo + 8192))
-                    lp = net.log_probs(windows(slots[max(0, lo - SIDE) : at[-1] + SIDE + 1], at - max(0, lo - SIDE)))[0]
-                    here = slots[at]
-                    held += float(lp[np.arange(len(at)), vocab.classes[here]].sum(dtype=np.float64) + vocab.share[here].sum())
+                padded, held = np.concatenate([outside, slots, outside]), 0.0
+                for lo in range(0, len(slots), 4096):
+                    here = slots[lo : lo + 4096]
+                    held += float((logs(padded[lo : lo + len(here) + 2 * SIDE], vocab.classes[here]) + vocab.share[here]).sum())
                 n.append(len(slots))
                 total.append(held)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
