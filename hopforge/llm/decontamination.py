@@ -26,6 +26,8 @@ BENCHMARK_CHARS = 16 << 20
 STRETCH = 1 << 19
 #: Postings looked at together.
 PORTION = 1 << 22
+#: Stands for a null item id.
+NO_ITEM = -(1 << 63)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII characters that aren't letters or digits become blanks.
 PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -230,13 +232,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
         items = spark.sparkContext.broadcast([(i, t) for i, t in mine.collect() if t])  # BENCHMARK_CHARS or so
 
         def run(batches, items=items):
-            index = BenchmarkIndex([(-1 if i is None else i, t) for i, t in items.value], q, rate)
+            index = BenchmarkIndex([(NO_ITEM if i is None else i, t) for i, t in items.value], q, rate)
             for batch in batches:
                 ids = batch.column(0)
                 out: list[tuple] = []
                 if index.segments:
                     out = list(index.find([normalised(t) for t in batch.column(1).to_pylist()]))
                 place, item, start, end, edits = zip(*out, strict=True) if out else ([],) * 5
+                item = [None if i == NO_ITEM else i for i in item]
                 taken = ids.take(pa.array(place, pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken, *[pa.array(x, pa.int64()) for x in (item, start, end, edits)]], names=["doc_id", "item_id", "start", "end", "edits"])
 
