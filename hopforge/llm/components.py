@@ -24,14 +24,14 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(now)
     while True:
         # Large star: larger neighbours go to the smallest of the node and its neighbours.
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = pairs(large)
         # Small star: smaller neighbours, and the node, go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(pairs(moved.unionByName(least.select("a", F.col("m").alias("b")))))
+        moved = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        now = cut(pairs(moved))
         if (new := _mark(now)) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = new

@@ -10,6 +10,8 @@ spanning forest and not their pairs. Links then become components.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -58,14 +60,19 @@ def ball(bits: int, radius: int) -> list[int]:
     return masks
 
 
-def spanning_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (indices) that connect all fingerprints connected by links within the radius."""
+def spanning_forest(prints: np.ndarray, radius: int, seconds: np.ndarray | None = None, second_radius: int = 64) -> list[tuple[int, int]]:
+    """Links (indices) that connect all fingerprints connected by links within the radius.
+
+    With a second fingerprint each, a link must be within its radius too.
+    """
     left, out = np.arange(len(prints)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
             near = np.bitwise_count(prints[left] ^ prints[at]) <= radius
+            if seconds is not None:
+                near &= np.bitwise_count(seconds[left] ^ seconds[at]) <= second_radius
             if near.any():
                 reached = left[near].tolist()
                 out += [(at, x) for x in reached]
@@ -74,38 +81,46 @@ def spanning_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _links(prints: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of distinct fingerprints in column ``f``: enough links for all components."""
+def _links(prints: DataFrame, radius: int, second_radius: int | None = None) -> DataFrame:
+    """(a, b) of distinct fingerprints ``f``: enough links for all components.
+
+    With a second_radius, prints is (node, f, g), g is a second fingerprint
+    that must be within it, and a and b are nodes; else f is the node.
+    """
+    own = ["f"] if second_radius is None else ["node", "f", "g"]
     entries, probes = [], []
     for i, (at, bits, near) in enumerate(segments(radius)):
         value = F.shiftrightunsigned("f", at).bitwiseAND(F.lit((1 << bits) - 1))
         key = lambda v, i=i: (v + F.lit(i << 32)).alias("key")
-        entries.append(prints.select(key(value), "f"))
+        entries.append(prints.select(key(value), *own))
         # Of two values one bit apart, only the even one looks for the other.
         masks = ball(bits, near)
         if near == 1:
             masks = F.when(F.bit_count(value) % 2 == 0, F.array(*map(F.lit, masks))).otherwise(F.array(F.lit(0)))
         else:
             masks = F.array(*map(F.lit, masks))
-        probes.append(prints.select(F.explode(masks).alias("mask"), "f", value.alias("v")).select(key(F.col("v").bitwiseXOR(F.col("mask").cast("long"))), "f"))
-    union = lambda dfs: dfs[0] if len(dfs) == 1 else union([dfs[0].unionByName(dfs[1]), *dfs[2:]])
-    entries, probes = union(entries), union(probes)
+        probes.append(prints.select(F.explode(masks).alias("mask"), *own, value.alias("v")).select(key(F.col("v").bitwiseXOR(F.col("mask").cast("long"))), *own))
+    entries, probes = (reduce(DataFrame.unionByName, x) for x in (entries, probes))
     crowded = cut(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED))
-    roomy = entries.join(crowded, "key", "left_anti")
-    few = probes.join(roomy.withColumnRenamed("f", "b"), "key").where((F.col("f") != F.col("b")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("b"))) <= radius)).select(F.col("f").alias("a"), "b")
+    roomy = entries.join(crowded, "key", "left_anti").select("key", *[F.col(c).alias(f"{c}2") for c in own])
+    within = lambda c, r: F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) <= r
+    close = within("f", radius) if second_radius is None else within("f", radius) & within("g", second_radius)
+    few = probes.join(roomy, "key").where((F.col(own[0]) != F.col(f"{own[0]}2")) & close).select(F.col(own[0]).alias("a"), F.col(f"{own[0]}2").alias("b"))
 
     # What meets in a crowded bucket is dealt into blocks, and each pair of blocks is linked once.
     meeting = cut(probes.join(crowded.select("key"), "key"))
     blocks = meeting.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64(own[0]), F.col("blocks")).cast("int")
     dealt = meeting.join(blocks, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "f")
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), *own)
 
     def forests(batches):
         for _, run in groups_of(batches, 0):
-            mine = np.unique(run["f"].to_numpy())
-            found = np.array(spanning_forest(mine.view(np.uint64), radius), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(mine[found[:, i]]) for i in (0, 1)], names=["a", "b"])
+            nodes, first = np.unique(run[own[0]].to_numpy(), return_index=True)
+            f = run["f"].to_numpy()[first].view(np.uint64)
+            g = None if second_radius is None else run["g"].to_numpy()[first].view(np.uint64)
+            found = np.array(spanning_forest(f, radius, g, second_radius or 0), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, i]]) for i in (0, 1)], names=["a", "b"])
 
     many = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(forests, "a long, b long")
     return few.unionByName(many)
@@ -134,17 +149,45 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) ->
 
     marked = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f long"))
     prints = cut(marked.groupBy("f").agg(F.min("doc_id").alias("first")))
-    roots = components(_links(prints, radius)).withColumnRenamed("node", "f")
-    rooted = prints.join(roots, "f", "left").select("f", "first", F.coalesce("root", "f").alias("root"))
+    roots = components(_links(prints.select("f"), radius))
+    named = _named(marked.withColumn("node", F.col("f")), prints.withColumn("node", F.col("f")), roots)
+    return named.select("doc_id", F.col("f").alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, radius: int = 5, shingle_words: int = 5, shingle_bits: int = 12) -> DataFrame:
+    """A row per document: doc_id, component_id, by word fingerprints verified on shingles.
+
+    A copy with a few words changed keeps nearly all words but loses
+    shingle_words shingles a change, so single words make the fingerprints
+    that are searched within ``radius``. What is found is verified by the
+    fingerprints of the texts' word shingles: shingle_bits of 64 bits stand
+    for a share of equal shingles of 0.8, plus a margin of one standard error
+    for what the fingerprint can't tell. Other cases as in near_duplicates.
+    """
+
+    def run(batches):
+        for batch in batches:
+            every = texts(batch.column(1))
+            one, more = ([fingerprint(t, n) for t in every] for n in (1, shingle_words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.int64()), pa.array(more, pa.int64())], names=["doc_id", "f", "g"])
+
+    marked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f long, g long")
+    marked = cut(marked.withColumn("node", F.xxhash64("f", "g")))
+    prints = cut(marked.groupBy("node", "f", "g").agg(F.min("doc_id").alias("first")))
+    roots = components(_links(prints.select("node", "f", "g"), radius, shingle_bits))
+    return _named(marked, prints, roots).select("doc_id", "component_id")
+
+
+def _named(marked: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """marked (with node) and component_id, the smallest ``first`` of a component's prints."""
+    rooted = prints.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(named, "root").select("f", "component_id")
-    return marked.join(by_print, "f").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
+    return marked.join(rooted.join(named, "root").select("node", "component_id"), "node")
 
 
-def keep_first_of_each(docs: DataFrame, shingle_words: int = 5, radius: int = 4) -> DataFrame:
-    """docs without those whose group has a smaller doc_id; repeated rows of the first stay once."""
-    groups = near_duplicates(docs, shingle_words, radius)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+def keep_first_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near copies of a smaller doc_id; repeated rows of the first stay once."""
+    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
 
