@@ -120,9 +120,9 @@ class Network:
         d /= len(d)
         dh = (d @ self.w2.T) * (1 - h * h)
         dx = (dh @ self.w1.T).reshape(-1, WIDTH)
-        at, back = np.unique(window.ravel(), return_inverse=True)
-        de = np.zeros((len(at), WIDTH), np.float32)
-        np.add.at(de, back.ravel(), dx)
+        order = np.argsort(window, axis=None, kind="stable")
+        at, starts = np.unique(window.ravel()[order], return_index=True)
+        de = np.add.reduceat(dx[order], starts, axis=0)
         grads = [x.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
         for p, g, s in zip([self.w1, self.b1, self.w2, self.b2], grads, squares[1:], strict=True):
             s += g * g
