@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hopforge.operators import budget, cluster, degrees, delta, layers, linkpred, merge, order, propagate, sampler, subgraph, tiers, training
 from hopforge.plans import fixtures as fx
 from hopforge.plans.lineage import cut
+from hopforge.plans.placement import placed
 from hopforge.sources.binary import feature_range, slice_bounds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,7 +363,8 @@ def gat_attention_layer(s, d):
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
-    w, edges = layers.fixed_weights, fx.edges(s, d, "mid")
+    # Both layers join on src.
+    w, edges = layers.fixed_weights, placed(fx.edges(s, d, "mid"), "src")
     hidden = cut(layers.sage_mean(edges, fx.vectors(s, d), w(8, 64), w(8, 64, 5), "relu"))
     return layers.sage_mean(edges, hidden, w(10, 8, 1), w(10, 8, 6))
 

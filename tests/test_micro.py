@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hopforge.operators import budget, cluster, degrees, delta, linkpred, merge, order, propagate, sampler, subgraph, tiers
-from hopforge.plans import jobs
+from hopforge.plans import jobs, placement
 
 EDGES = [(2, 0), (3, 0), (3, 1), (4, 2), (5, 3), (6, 4), (6, 5), (7, 6), (0, 2), (8, 7), (1, 9)]
 SEEDS = [(0, 0), (1, 1), (9, 2)]
@@ -159,6 +159,24 @@ def test_sampling_repeats_and_short_batches(spark):
     assert rows(sampler.blocks(drawn, ids, 2).groupBy("depth").count(), "depth", "count") == [(1, 4), (2, 6)]
 
 
+def test_hubs_are_kept_apart(graph, monkeypatch):
+    edges, nodes, seeds, members = graph
+    monkeypatch.setattr(propagate, "place", lambda df, key: placement.place(df, key, hub=1))
+    assert placement.place(edges, "dst", hub=1).heavy.count() == 4
+    assert rows(propagate.membership(edges, seeds), "part", "node", "hop") == rows(members, "part", "node", "hop")
+    assert [v for _, v in rows(propagate.values(edges, nodes, seeds), "node", "value")] == [175000, 400000, 162500, 762500, 75000, 550000, 175000, 0, 0, 100000]
+
+
+def test_placed_edges_are_not_shuffled_again(spark, graph):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        light = placement.place(graph[0], "dst").light
+        plan = light.join(graph[1].withColumnRenamed("node", "dst"), "dst")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1
+
+
 def test_empty_graph(spark):
     edges = spark.createDataFrame([], "src long, dst long")
     nodes = spark.range(3).withColumnRenamed("id", "node")
