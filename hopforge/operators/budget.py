@@ -46,3 +46,14 @@ def trim_edges(edges: DataFrame, kept: DataFrame, seed: int = 42) -> DataFrame:
     lot = F.row_number().over(row.orderBy(shuffled(F.lit(seed), "part", "dst", "src"), "src"))
     sized = alive.select("part", "src", "dst", deg.alias("deg"), lot.alias("lot"))
     return sized.where((F.col("deg") < HIGH) | (F.col("lot") <= F.floor(F.col("deg") * F.lit(SHORT)))).select("part", "src", "dst")
+
+
+def kept_places(kept: DataFrame) -> DataFrame:
+    """(part, node, place): running number of kept nodes by id, from 0; null for dropped ones."""
+    running = F.sum(F.col("kept").cast("long")).over(Window.partitionBy("part").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    return kept.select("part", "node", F.when(F.col("kept"), running - 1).alias("place"))
+
+
+def kept_features(places: DataFrame, features: DataFrame) -> DataFrame:
+    """(part, place, node, feat) of kept nodes."""
+    return places.where("place is not null").join(features, "node").select("part", "place", "node", "feat")

@@ -22,6 +22,12 @@ def label_histogram(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 0")
 
 
+def labels_by_size(histogram: DataFrame, most: int | None = None) -> DataFrame:
+    """(label, n): labels by count, largest first, ties by label; all of them or the first ``most``."""
+    ordered = histogram.orderBy(F.desc("n"), "label")
+    return ordered if most is None else ordered.limit(most)
+
+
 def assign_parts(labels: DataFrame, parts: int, seed: int = 42) -> DataFrame:
     """(node, label, part): labels in random order, cut into chunks of n div parts + 1."""
     names = labels.select("label").distinct().withColumn("digest", shuffled(F.lit(seed), "label"))

@@ -7,13 +7,15 @@ driver values: a matrix is a list of rows, one row per output.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopforge.functions import vectors as V
 from hopforge.operators.degrees import degrees
+from hopforge.plans.lineage import cut
 
 Matrix = Sequence[Sequence[float]]
 ACTIVATIONS = {"none": lambda x: x, "relu": V.relu, "elu": V.elu, "log_softmax": V.log_softmax}
@@ -92,6 +94,48 @@ def gat(edges: DataFrame, nodes: DataFrame, heads: Sequence[tuple[Matrix, Sequen
     return out.select("node", ACTIVATIONS[activation](x).alias("x"))
 
 
+def batch_norm(nodes: DataFrame, gamma: Sequence[float], beta: Sequence[float], eps: float = 1e-5) -> DataFrame:
+    """Each entry shifted and scaled by its mean and variance over all nodes.
+
+    The statistics are one row of the vector's width, brought to the driver.
+    """
+    width = len(gamma)
+    stats = nodes.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(width)], *[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(width)]).first()
+    if stats[0] is None:
+        return nodes
+    rate = [g / math.sqrt(stats[f"v{i}"] + eps) for i, g in enumerate(gamma)]
+    shift = [b - stats[f"m{i}"] * r for i, (b, r) in enumerate(zip(beta, rate, strict=True))]
+    scaled = F.zip_with("x", V.literal(rate), lambda x, r: x * r)
+    return nodes.select("node", V.add(scaled, V.literal(shift)).alias("x"))
+
+
+def residual_sage(edges: DataFrame, nodes: DataFrame, blocks: Sequence[tuple[Matrix, Matrix]], head: Sequence[tuple[Matrix, Sequence[float]]]) -> DataFrame:
+    """Mean layers with batch norm, relu and a residual each; all their outputs, joined, go through an MLP."""
+    seen = [nodes]
+    for w_self, w_neigh in blocks:
+        width = len(w_self)
+        made = batch_norm(sage_mean(edges, nodes, w_self, w_neigh), [1.0] * width, [0.0] * width)
+        nodes = cut(made.withColumnRenamed("x", "y").join(nodes, "node").select("node", V.add(V.relu(F.col("y")), F.col("x")).alias("x")))
+        seen.append(nodes)
+    joined = seen[0].withColumnRenamed("x", "x0")
+    for i, layer in enumerate(seen[1:], 1):
+        joined = joined.join(layer.withColumnRenamed("x", f"x{i}"), "node")
+    return mlp(joined.select("node", F.concat(*[f"x{i}" for i in range(len(seen))]).alias("x")), head)
+
+
+def inference(nodes: DataFrame, layers: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Each layer over all nodes and all in-neighbours before the next one starts."""
+    for layer in layers:
+        nodes = cut(layer(nodes))
+    return nodes
+
+
+def mean_loss(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: n and the mean cross-entropy of the labelled nodes."""
+    own = F.element_at(V.log_softmax(F.col("x")), (F.col("label") + 1).cast("int"))
+    return scores.join(labels, "node").agg(F.count("*").alias("n"), F.round(-F.avg(own), 6).alias("loss"))
+
+
 def predictions(nodes: DataFrame) -> DataFrame:
     """(node, pred): the class of the largest score, the lowest of equals."""
     return nodes.select("node", V.argmax(F.col("x")).cast("long").alias("pred"))

@@ -93,3 +93,9 @@ def merged(members: DataFrame, plan: DataFrame, hops: int = 3) -> DataFrame:
     """
     moved = members.join(plan.select("part", "merged_part"), "part")
     return moved.groupBy(F.col("merged_part").alias("part"), "node").agg(F.min("hop").alias("hop"), F.bool_and(F.col("hop") == hops).alias("is_boundary"))
+
+
+def extremes(sizes: DataFrame) -> DataFrame:
+    """One row: the smallest and the largest part of (part, n), ties to the smaller id, and the largest n."""
+    low, high = F.min(F.struct("n", "part")), F.min(F.struct((-F.col("n")).alias("n"), "part"))
+    return sizes.agg(low["part"].alias("min_part"), high["part"].alias("max_part"), F.max("n").alias("max_n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopforge.operators import cluster, merge, order, propagate, sampler, subgraph
@@ -53,6 +53,12 @@ def save(done: Partitioned, path: str) -> None:
     done.manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def load(spark: SparkSession, path: str, name: str, part: int | None = None) -> DataFrame:
+    """A saved table, or one part of it: only that part's folder is read."""
+    rows = spark.read.parquet(f"{path}/{name}").withColumn("part", F.col("part").cast("long"))
+    return rows if part is None else rows.where(F.col("part") == part)
+
+
 def schedule(done: Partitioned, epochs: int) -> DataFrame:
     """(step, epoch, part): the same path in each epoch."""
     n = done.manifest.count()  # one row a part

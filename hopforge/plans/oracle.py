@@ -90,6 +90,34 @@ for _h, _salt in ((0, 0), (1, 3)):
     CTE[f"g{_h}"] = f"SELECT dst AS node, dim, sum(val * w) / sum(w) AS val FROM w{_h} JOIN z{_h} ON z{_h}.node = src GROUP BY dst, dim"
 
 
+def _gcn(name: str, x: str, weights: str, shape: str) -> None:
+    CTE[name] = f"SELECT node, dim, {shape} AS val FROM (SELECT n.node, w.i AS dim, sum(coalesce(s.val, 0) * w.w) AS v FROM nodes n CROSS JOIN {weights} w LEFT JOIN (SELECT dst AS node, dim, sum(val / sqrt(o.n)) / sqrt(max(g.n)) AS val FROM mid JOIN {x} y ON y.node = src JOIN outdeg o ON o.node = src JOIN indeg g ON g.node = dst GROUP BY dst, dim) s ON s.node = n.node AND s.dim = w.j GROUP BY n.node, w.i)"
+
+
+_weights("wc1", 8, 64)
+_weights("wc2", 4, 8, 1)
+_gcn("c1", "x0", "wc1", "greatest(0, v)")
+_gcn("c2", "c1", "wc2", "v")
+CTE["a1"] = "SELECT n.node, d.dim, coalesce(CASE WHEN d.dim < 4 THEN a.val ELSE b.val END, 0) AS v FROM nodes n CROSS JOIN (SELECT unnest(range(8)) AS dim) d LEFT JOIN g0 a ON a.node = n.node AND a.dim = d.dim LEFT JOIN g1 b ON b.node = n.node AND b.dim = d.dim - 4"
+CTE["x1"] = "SELECT node, dim, CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END AS val FROM a1"
+_weights("wg2", 4, 8, 2)
+CTE["att2"] = "SELECT * FROM (VALUES " + ", ".join(f"({j}::BIGINT, {a}::DOUBLE, {b}::DOUBLE)" for j, (a, b) in enumerate(zip(fixed_weights(1, 4, 6)[0], fixed_weights(1, 4, 7)[0], strict=True))) + ") t(j, a, b)"
+CTE["z2"] = "SELECT node, i AS dim, sum(val * w) AS val FROM x1 JOIN wg2 ON dim = j GROUP BY node, i"
+for _n in "lr", "e", "w", "g":
+    CTE[f"{_n}2"] = re.sub(r"\b(z|att|lr|e|w)0\b", r"\g<1>2", CTE[f"{_n}0"])
+# The residual block: a linear layer, a mean layer, batch norm, and both outputs side by side.
+_weights("wr0", 4, 64)
+_weights("wr1", 4, 4, 1)
+_weights("wr2", 4, 4, 2)
+_weights("wr3", 3, 8, 3)
+CTE["r0"] = "SELECT node, i AS dim, sum(val * w) AS val FROM x0 JOIN wr0 ON dim = j GROUP BY node, i"
+CTE["nr0"] = "SELECT dst AS node, dim, avg(val) AS val FROM mid JOIN r0 ON r0.node = src GROUP BY dst, dim"
+CTE["r1"] = "SELECT node, i AS dim, sum(v) AS val FROM (SELECT node, i, val * w AS v FROM r0 JOIN wr1 ON dim = j UNION ALL SELECT node, i, val * w FROM nr0 JOIN wr2 ON dim = j) GROUP BY node, i"
+CTE["bn"] = "SELECT node, dim, (val - avg(val) OVER (PARTITION BY dim)) / sqrt(var_pop(val) OVER (PARTITION BY dim) + 0.00001) AS val FROM r1"
+CTE["r2"] = "SELECT node, dim, greatest(0, bn.val) + r0.val AS val FROM bn JOIN r0 USING (node, dim)"
+CTE["r3"] = "SELECT node, dim, val FROM r0 UNION ALL SELECT node, dim + 4, val FROM r2"
+
+
 def sql(final: str, **names: str) -> str:
     """The statement with all expressions it needs before it, each worked out once."""
     needed: list[str] = []
@@ -164,6 +192,19 @@ ORACLE: dict[str, str] = {
     "layerwise_inference": sql(_ENTRIES.format(keys="node", rows="SELECT * FROM scores")),
     "argmax_predict": sql("SELECT node, pred FROM preds"),
     "accuracy_by_split": sql("SELECT split, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM preds JOIN feats USING (node) JOIN split_ USING (node) GROUP BY split"),
+    "gcn_inference": sql(_ENTRIES.format(keys="node", rows="SELECT * FROM c2")),
+    "gat_inference": sql(_ENTRIES.format(keys="node", rows="SELECT n.node, d.dim, coalesce(a.val, 0) AS val FROM nodes n CROSS JOIN (SELECT unnest(range(4)) AS dim) d LEFT JOIN g2 a ON a.node = n.node AND a.dim = d.dim")),
+    "residual_sage_layer": sql(_ENTRIES.format(keys="node", rows="SELECT node, i AS dim, sum(val * w) + 0.1 AS val FROM r3 JOIN wr3 ON dim = j GROUP BY node, i")),
+    "mean_loss": sql("SELECT count(*) AS n, round(avg(-own), 6) AS loss FROM (SELECT node, max(val) FILTER (WHERE dim = label) - max(top) - ln(sum(exp(val - top))) AS own FROM (SELECT *, max(val) OVER (PARTITION BY node) AS top FROM scores) JOIN feats USING (node) GROUP BY node)"),
+    "parameter_count": "SELECT (2 * 8 * 64 + 2 * 10 * 8)::BIGINT AS n_params",
+    "trim_places": sql("SELECT part, node, row_number() OVER (PARTITION BY part ORDER BY node) - 1 AS place FROM trimmed WHERE kept"),
+    "trim_features": sql(f"SELECT part, place, node, {_FEAT} FROM (SELECT part, node, row_number() OVER (PARTITION BY part ORDER BY node) - 1 AS place FROM trimmed WHERE kept) JOIN feats USING (node)"),
+    "partition_extremes": sql("SELECT (SELECT part FROM sizes ORDER BY n, part LIMIT 1) AS min_part, (SELECT part FROM sizes ORDER BY n DESC, part LIMIT 1) AS max_part, (SELECT max(n) FROM sizes) AS max_n"),
+    "seeds_per_part": sql("SELECT part, count(*) AS n, (count(*) - 1) // 16 + 1 AS batches FROM seeds GROUP BY part"),
+    "seed_labels_by_size": sql("SELECT label, count(*) AS n FROM labels_ GROUP BY label", graph="mid"),
+    "slice_ids": sql("SELECT node // ((SELECT count(*) FROM nodes) // 8 + 1) AS slice, node FROM nodes"),
+    "zero_features": sql("SELECT node, unnest(range(4)) AS dim, 0.0::DOUBLE AS val FROM nodes"),
+    "synthetic_train_ids": sql("SELECT node FROM (SELECT node, row_number() OVER (ORDER BY md5('42|' || node), node) AS r FROM nodes) WHERE r <= floor((SELECT count(*) FROM nodes) * 0.01)"),
     "lp_split": sql("SELECT split, src, dst FROM lp"),
     "lp_negatives": sql("SELECT split, src, dst, k, ('0x' || substr(md5('42|' || src || '|' || dst || '|' || k), 1, 8))::BIGINT % (SELECT count(*) FROM nodes) AS neg_dst FROM (SELECT *, unnest(range(1, CASE WHEN split = 'train' THEN 2 ELSE 6 END)) AS k FROM lp)"),
     "partition_summary": sql("SELECT part, count(*) AS nodes, count(*) FILTER (WHERE hop < 3) AS interior, count(*) FILTER (WHERE hop = 3) AS boundary, max(e) AS edges_kept FROM members JOIN (SELECT part, count(*) AS e FROM kept GROUP BY part) USING (part) GROUP BY part"),

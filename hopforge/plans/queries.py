@@ -11,7 +11,9 @@ from hopforge.operators import budget, cluster, degrees, delta, layers, linkpred
 from hopforge.plans import fixtures as fx
 from hopforge.plans.lineage import cut
 from hopforge.plans.placement import placed
-from hopforge.sources.binary import feature_range, slice_bounds
+from hopforge.sources.binary import feature_range, params_table, slice_bounds, synthetic_dataset
+from hopforge.sources.binary import slice_ids as slice_ids_
+from hopforge.sources.binary import zero_features as zero_features_
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +71,11 @@ def seed_label_histogram(s, d):
     return cluster.label_histogram(cluster.seed_labels(fx.edges(s, d, "mid"), fx.seeds(s, d)))
 
 
+@query
+def seed_labels_by_size(s, d):
+    return cluster.labels_by_size(cluster.label_histogram(cluster.seed_labels(fx.edges(s, d, "mid"), fx.seeds(s, d))))
+
+
 @query
 def seed_partition_assign(s, d):
     return cluster.assign_parts(cluster.seed_labels(fx.edges(s, d, "mid"), fx.seeds(s, d)), fx.PARTS)
@@ -188,6 +195,16 @@ def partition_manifest(s, d):
     return subgraph.manifest(*_kept(s, d))
 
 
+@query
+def partition_extremes(s, d):
+    return merge.extremes(_members(s, d)[1].groupBy("part").agg(F.count("*").alias("n")))
+
+
+@query
+def seeds_per_part(s, d):
+    return fx.seeds(s, d).groupBy("part").agg(F.count("*").alias("n"), F.expr(f"(count(*) - 1) div {BATCH} + 1").alias("batches"))
+
+
 @query
 def reload_cost_matrix(s, d):
     return order.reload_cost(_members(s, d)[1])
@@ -256,6 +273,17 @@ def trim_degree(s, d):
     return budget.trim_edges(edges, kept).groupBy("dst").agg(F.count("*").alias("deg"), F.sum("src").alias("src_sum"))
 
 
+@query
+def trim_places(s, d):
+    return budget.kept_places(_trimmed(s, d)[2]).where("place is not null")
+
+
+@query
+def trim_features(s, d):
+    found = budget.kept_features(budget.kept_places(_trimmed(s, d)[2]), fx.features(s, d))
+    return found.select("part", "place", "node", F.posexplode("feat").alias("dim", "val")).withColumn("dim", F.col("dim").cast("long")).withColumn("val", F.round(F.col("val").cast("double"), 6))
+
+
 @query
 def tier_init(s, d):
     return tiers.tier_init(_trimmed(s, d)[2])
@@ -339,6 +367,23 @@ def range_feature_scan(s, d):
     return found.select("node", F.posexplode("feat").alias("dim", "val")).withColumn("dim", F.col("dim").cast("long")).withColumn("val", F.round(F.col("val").cast("double"), 6))
 
 
+@query
+def slice_ids(s, d):
+    nodes = fx.nodes(s, d)
+    return slice_ids_(nodes, slice_bounds(8, nodes.count()))
+
+
+@query
+def zero_features(s, d):
+    rows = zero_features_(s, fx.nodes(s, d).count(), 4)
+    return rows.select("node", F.posexplode("feat").alias("dim", "val")).select("node", F.col("dim").cast("long").alias("dim"), F.col("val").cast("double").alias("val"))
+
+
+@query
+def synthetic_train_ids(s, d):
+    return synthetic_dataset(s, fx.nodes(s, d).count(), 4)[2]
+
+
 def _entries(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.posexplode("x").alias("dim", "val")).select("node", F.col("dim").cast("long").alias("dim"), (F.round("val", 6) + 0.0).alias("val"))
 
@@ -384,6 +429,40 @@ def accuracy_by_split(s, d):
     return layers.accuracy(layers.predictions(_scores(s, d)), fx.features(s, d).select("node", "label"), fx.splits(s, d))
 
 
+@query
+def gcn_inference(s, d):
+    w, edges = layers.fixed_weights, placed(fx.edges(s, d, "mid"), "src")
+    steps = [lambda x: layers.gcn(edges, x, w(8, 64), "relu"), lambda x: layers.gcn(edges, x, w(4, 8, 1))]
+    return _entries(layers.inference(fx.vectors(s, d), steps))
+
+
+GAT_LAST = [(layers.fixed_weights(4, 8, 2), layers.fixed_weights(1, 4, 6)[0], layers.fixed_weights(1, 4, 7)[0])]
+
+
+@query
+def gat_inference(s, d):
+    edges = placed(fx.edges(s, d, "mid"), "src")
+    steps = [lambda x: layers.gat(edges, x, GAT_HEADS, "concat", "elu"), lambda x: layers.gat(edges, x, GAT_LAST)]
+    return _entries(layers.inference(fx.vectors(s, d), steps))
+
+
+@query
+def residual_sage_layer(s, d):
+    w = layers.fixed_weights
+    return _entries(layers.residual_sage(fx.edges(s, d, "mid"), layers.linear(fx.vectors(s, d), w(4, 64)), [(w(4, 4, 1), w(4, 4, 2))], [(w(3, 8, 3), [0.1] * 3)]))
+
+
+@query
+def mean_loss(s, d):
+    return layers.mean_loss(_scores(s, d), fx.features(s, d).select("node", "label"))
+
+
+@query
+def parameter_count(s, d):
+    w = layers.fixed_weights
+    return layers.parameter_count(params_table(s, {"self1": w(8, 64), "neigh1": w(8, 64, 5), "self2": w(10, 8, 1), "neigh2": w(10, 8, 6)}))
+
+
 @query
 def train_softmax_head(s, d):
     x = training.smoothed(fx.edges(s, d, "mid"), fx.vectors(s, d), 2)

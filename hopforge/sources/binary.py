@@ -96,6 +96,40 @@ def export_file(spark: SparkSession, path: str, file: str, append: bool = False)
             out.write(chunk)
 
 
+def slice_ids(ids: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(slice, node): the half-open id range that each node falls in; nodes in none are left out."""
+    found = F.lit(None).cast("long")
+    for i, (begin, end) in enumerate(bounds):
+        found = F.when((F.col("node") >= begin) & (F.col("node") < end), i).otherwise(found)
+    return ids.select(found.cast("long").alias("slice"), "node").where("slice is not null")
+
+
+def read_dataset(spark: SparkSession, folder: str, width: int) -> dict[str, DataFrame]:
+    """edges, features, labels and train of a folder with graph.bin, feat.bin, labels.bin and trainIds.bin."""
+    return {
+        "edges": read_edges(spark, f"{folder}/graph.bin"),
+        "features": read_features(spark, f"{folder}/feat.bin", width),
+        "labels": read_vectors(spark, f"{folder}/labels.bin", "int64").select(F.col("pos").alias("node"), F.col("v").alias("label")),
+        "train": read_vectors(spark, f"{folder}/trainIds.bin", "int64").select(F.col("v").alias("node")),
+    }
+
+
+def params_table(spark: SparkSession, layers: dict[str, np.ndarray]) -> DataFrame:
+    """(layer, i, j, w) of named weight matrices, to be written like any table."""
+    rows = [(name, i, j, float(w)) for name, m in layers.items() for (i, j), w in np.ndenumerate(np.atleast_2d(m))]
+    return spark.createDataFrame(rows, "layer string, i long, j long, w double")
+
+
+def params_from(table: DataFrame) -> dict[str, np.ndarray]:
+    """The matrices of a (layer, i, j, w) table."""
+    out: dict[str, np.ndarray] = {}
+    for name, rows in table.toPandas().groupby("layer"):
+        m = np.zeros((int(rows["i"].max()) + 1, int(rows["j"].max()) + 1))
+        m[rows["i"], rows["j"]] = rows["w"]
+        out[str(name)] = m
+    return out
+
+
 def mask_to_ids(nodes: DataFrame, mask: str) -> DataFrame:
     """(node) where a boolean column holds."""
     return nodes.where(F.col(mask)).select("node")

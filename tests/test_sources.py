@@ -26,6 +26,20 @@ def test_vectors_round_trip(spark, tmp_path):
     assert len(np.fromfile(tmp_path / "out.bin", "<f4")) == 12
 
 
+def test_dataset_folder_and_params(spark, tmp_path):
+    np.array([[0, 1], [1, 2]], "<i4").tofile(tmp_path / "graph.bin")
+    np.zeros((3, 2), "<f4").tofile(tmp_path / "feat.bin")
+    np.array([5, 6, 7], "<i8").tofile(tmp_path / "labels.bin")
+    np.array([2], "<i8").tofile(tmp_path / "trainIds.bin")
+    found = B.read_dataset(spark, str(tmp_path), 2)
+    assert {k: df.count() for k, df in found.items()} == {"edges": 2, "features": 3, "labels": 3, "train": 1}
+    assert [tuple(r) for r in found["labels"].orderBy("node").collect()] == [(0, 5), (1, 6), (2, 7)]
+    weights = {"a": np.arange(6.0).reshape(2, 3), "b": np.ones(4)}
+    B.params_table(spark, weights).write.parquet(str(tmp_path / "params"))
+    back = B.params_from(spark.read.parquet(str(tmp_path / "params")))
+    assert np.array_equal(back["a"], weights["a"]) and back["b"].shape == (1, 4)
+
+
 def test_split_edges(spark, tmp_path):
     np.array([1, 2, 3], "<i8").tofile(tmp_path / "srcList.bin")
     np.array([4, 5, 6], "<i8").tofile(tmp_path / "dstList.bin")
