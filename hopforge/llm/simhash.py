@@ -19,19 +19,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopforge.llm.components import components
-from hopforge.llm.support import cut, groups_of, table, texts
+from hopforge.llm.support import cut, groups_of, small, table, texts
 
 #: A bucket with more table entries than this is linked in blocks of BLOCK fingerprints.
 CROWDED, BLOCK = 32, 4096
 
 
-def fingerprint(text: bytes | None, shingle_words: int) -> int:
-    """The fingerprint of a whole text, as a signed 64-bit number; 0 without words."""
+def fingerprint(text: bytes | None, shingle_words: int | None) -> int:
+    """The fingerprint of a whole text, as a signed 64-bit number; 0 without words.
+
+    Without shingle_words its features are the distinct words: a word that
+    every text repeats counts once, or texts of one language would crowd.
+    """
     words = (text or b"").lower().split()  # of bytes: ASCII blanks and letters only
     if not words:
         return 0
     n, digest = shingle_words, xxhash.xxh64_intdigest
-    if len(words) <= n:
+    if n is None:
+        hashes = [digest(w, 42) for w in set(words)]
+    elif len(words) <= n:
         hashes = [digest(b" ".join(words), 42)]
     else:
         hashes = [digest(b" ".join(words[i : i + n]), 42) for i in range(len(words) - n + 1)]
@@ -143,7 +149,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) ->
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             prints = [fingerprint(t, shingle_words) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "f"])
 
@@ -158,7 +164,7 @@ def near_copies(docs: DataFrame, radius: int = 5, shingle_words: int = 5, shingl
     """A row per document: doc_id, component_id, by word fingerprints verified on shingles.
 
     A copy with a few words changed keeps nearly all words but loses
-    shingle_words shingles a change, so single words make the fingerprints
+    shingle_words shingles a change, so distinct words make the fingerprints
     that are searched within ``radius``. What is found is verified by the
     fingerprints of the texts' word shingles: shingle_bits of 64 bits stand
     for a share of equal shingles of 0.8, plus a margin of one standard error
@@ -166,9 +172,9 @@ def near_copies(docs: DataFrame, radius: int = 5, shingle_words: int = 5, shingl
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             every = texts(batch.column(1))
-            one, more = ([fingerprint(t, n) for t in every] for n in (1, shingle_words))
+            one, more = ([fingerprint(t, n) for t in every] for n in (None, shingle_words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.int64()), pa.array(more, pa.int64())], names=["doc_id", "f", "g"])
 
     marked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f long, g long")
