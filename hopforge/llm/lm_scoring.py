@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.llm.support import cut, table, texts
+from hopforge.llm.support import cut, small, table, texts
 
 #: Words with a slot of their own, hashed slots, classes, embedding and hidden width, tokens on each side.
 WORDS, HASHED, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 1024, 64, 16, 48, 3
@@ -97,6 +97,8 @@ class Network:
         """
         added = [self.embed @ self.w1[k * WIDTH : (k + 1) * WIDTH] for k in range(2 * SIDE)]
         shifts = [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]
+        # Where no score can overflow exp(), none is shifted.
+        bounded = float((np.abs(self.w2).sum(0) + np.abs(self.b2)).max()) < 80
 
         def run(padded: np.ndarray, target: np.ndarray) -> np.ndarray:
             n = len(target)
@@ -106,7 +108,8 @@ class Network:
             h += self.b1
             z = np.tanh(h, out=h) @ self.w2
             z += self.b2
-            z -= z.max(1, keepdims=True)
+            if not bounded:
+                z -= z.max(1, keepdims=True)
             own = z[np.arange(n), target].astype(np.float64)
             return own - np.log(np.exp(z, out=z).sum(1))
 
@@ -149,7 +152,7 @@ def count_words(docs: DataFrame) -> Vocabulary:
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in small(batches):
             for text in texts(batch.column(0)):
                 held.update((text or b"").lower().split())
                 if len(held) > 200_000:
@@ -173,19 +176,36 @@ def count_words(docs: DataFrame) -> Vocabulary:
     return Vocabulary(ranked, n, [hashed.get(i, 0) for i in range(HASHED)])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """A network trained on every document; the targets are one token in ``stride`` of each.
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, slots): each document's slots as 16-bit numbers, in the checkpoint folder for the passes to come."""
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary.data)  # WORDS words
+
+    def run(batches):
+        vocab = Vocabulary(*words.value)
+        for batch in small(batches):
+            packed = [vocab.slots((t or b"").lower().split()).astype("<u2").tobytes() for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "slots"])
+
+    return cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, slots binary"))
+
+
+def _unpacked(column: pa.Array):
+    return (np.frombuffer(b, "<u2").astype(np.int64) for b in column.to_pylist())
+
+
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
+    """A network trained on every encoded document; the targets are one token in ``stride`` of each.
 
     Which tokens are targets shifts with the text, so all places are seen.
     """
-    sc = docs.sparkSession.sparkContext
+    sc = encoded.sparkSession.sparkContext
     network = Network(vocabulary.size)
-    words = sc.broadcast(vocabulary.data)  # WORDS words
+    classes = vocabulary.classes
     for number in range(rounds):
         start = sc.broadcast(network.flat)
 
         def learn(batches, start=start, number=number):
-            mine, vocab = Network(vocabulary_size, start.value.copy()), Vocabulary(*words.value)
+            mine = Network(len(classes), start.value.copy())
             squares = [np.full(s, 0.01, np.float32) for s in mine.shapes]
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = seen = 0
@@ -200,13 +220,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
                     mine.step(window[some], target[some], squares)
                 held, waiting = [], 0
 
-            for batch in batches:
-                for text in texts(batch.column(0)):
-                    slots = vocab.slots((text or b"").lower().split())
+            for batch in small(batches):
+                for slots in _unpacked(batch.column(0)):
                     for lo in range(0, len(slots), 1 << 18):
                         at = np.arange(lo + (len(slots) + number) % stride, min(len(slots), lo + (1 << 18)), stride)
                         if len(at):
-                            held.append((windows(slots, at), vocab.classes[slots[at]]))
+                            held.append((windows(slots, at), classes[slots[at]]))
                             waiting += len(at)
                     if waiting > 64 * BATCH:
                         seen += waiting
@@ -218,8 +237,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
                 whole = np.round(mine.flat.astype(np.float64) * GRAIN).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([whole.tolist()], pa.list_(pa.int64()))], names=["seen", "flat"])
 
-        vocabulary_size = vocabulary.size
-        copies = docs.select("text").mapInArrow(learn, "seen long, flat array<long>")
+        copies = encoded.select("slots").mapInArrow(learn, "seen long, flat array<long>")
         weighed = copies.select(F.greatest(F.lit(1), F.floor(F.log2("seen") * 4)).cast("long").alias("w"), F.posexplode("flat").alias("at", "v"))
         # One row a parameter: the size of the network, whatever the corpus.
         mean = weighed.groupBy("at").agg((F.sum(F.col("v") * F.col("w")).cast("double") / F.sum("w") / GRAIN).alias("v")).toPandas()
@@ -228,37 +246,38 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
     return network
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
+def score(encoded: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
     """A row per document: doc_id, n_words, log_likelihood (sum over its tokens) and mean_log_likelihood.
 
-    Every token of the whole text is predicted. A null or empty text has no
-    tokens, a sum of 0 and a null mean. Repeated rows are scored each; a null
-    doc_id stays null; extra columns are left out.
+    encoded comes from ``encode``. Every token of the whole text is predicted.
+    A null or empty text has no tokens, a sum of 0 and a null mean. Repeated
+    rows are scored each; a null doc_id stays null; extra columns are left
+    out; an empty table gives an empty table.
     """
-    sc = docs.sparkSession.sparkContext
-    words, flat, size = sc.broadcast(vocabulary.data), sc.broadcast(network.flat), vocabulary.size
+    flat = encoded.sparkSession.sparkContext.broadcast(network.flat)
+    classes, share = vocabulary.classes, vocabulary.share
 
     def run(batches):
-        logs, vocab = Network(size, flat.value).scorer(), Vocabulary(*words.value)
+        logs = Network(len(classes), flat.value).scorer()
         outside = np.zeros(SIDE, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             n, total = [], []
-            for text in texts(batch.column(1)):
-                slots = vocab.slots((text or b"").lower().split())
+            for slots in _unpacked(batch.column(1)):
                 padded, held = np.concatenate([outside, slots, outside]), 0.0
                 for lo in range(0, len(slots), 4096):
                     here = slots[lo : lo + 4096]
-                    held += float((logs(padded[lo : lo + len(here) + 2 * SIDE], vocab.classes[here]) + vocab.share[here]).sum())
+                    held += float((logs(padded[lo : lo + len(here) + 2 * SIDE], classes[here]) + share[here]).sum())
                 n.append(len(slots))
                 total.append(held)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+    out = encoded.mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = count_words(docs)
-    scores = score(docs, vocabulary, train(docs, vocabulary))
+    encoded = encode(docs, vocabulary)
+    scores = score(encoded, vocabulary, train(encoded, vocabulary))
     return scores.select("doc_id", "n_words", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("mean_log_likelihood", 4).alias("mean_log_likelihood"))

@@ -40,6 +40,14 @@ def parts_for(n_rows: int, rows_per_part: int) -> int:
     return max(1, -(-int(n_rows) // rows_per_part))
 
 
+def small(batches, rows: int = 500):
+    """The batches in slices of few rows, so that what a slice grows into stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def groups_of(batches, key: int):
     """Split a stream of record batches sorted by column ``key`` into runs.
 

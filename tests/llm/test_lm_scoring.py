@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from hopforge.llm.lm_scoring import CLASSES, RATE, SIDE, Network, Vocabulary, count_words, op10_pseudo_likelihood, score, train, windows
+from hopforge.llm.lm_scoring import CLASSES, RATE, SIDE, Network, Vocabulary, count_words, encode, op10_pseudo_likelihood, score, train, windows
 
 
 @pytest.fixture(scope="module")
@@ -72,9 +72,9 @@ def test_training_helps_on_held_out_text(spark, corpus):
     v = count_words(corpus)
     assert v.data[0][0].endswith((b"left", b"mid", b"right")) and sum(v.data[1]) == corpus.selectExpr("sum(size(split(text, ' ')))").first()[0]
     held_out = spark.createDataFrame([(1, "cleft cmid cright aleft amid aright hleft hmid hright bleft bmid bright"), (2, "cright hleft amid cmid aleft hmid bright hright aright bleft cleft bmid")], "doc_id long, text string")
-    before = {r.doc_id: r.mean_log_likelihood for r in score(held_out, v, Network(v.size)).collect()}
-    net = train(corpus, v, rounds=3, stride=1)
-    after = {r.doc_id: r.mean_log_likelihood for r in score(held_out, v, net).collect()}
+    before = {r.doc_id: r.mean_log_likelihood for r in score(encode(held_out, v), v, Network(v.size)).collect()}
+    net = train(encode(corpus, v), v, rounds=3, stride=1)
+    after = {r.doc_id: r.mean_log_likelihood for r in score(encode(held_out, v), v, net).collect()}
     assert after[1] > before[1] + 0.5  # order as in the corpus
     assert after[1] > after[2] + 0.5  # the same words in another order
 
@@ -82,12 +82,14 @@ def test_training_helps_on_held_out_text(spark, corpus):
 def test_odd_rows(spark, corpus):
     v = count_words(corpus)
     rows = [(1, None), (2, ""), (None, "aleft amid"), (3, "x"), (3, "x"), (4, "aleft " * 30_000)]
-    got = score(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_words int"), v, Network(v.size)).collect()
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, slots int")
+    got = score(encode(frame, v), v, Network(v.size)).collect()
     assert sorted(r.n_words for r in got) == [0, 0, 1, 1, 2, 30_000]
     assert {r.doc_id: r.mean_log_likelihood for r in got}[1] is None
     empty = spark.createDataFrame([], "doc_id long, text string")
     none = count_words(empty)
-    assert score(empty, none, train(empty, none)).count() == 0
+    nothing = encode(empty, none)
+    assert score(nothing, none, train(nothing, none)).count() == 0
 
 
 def test_query(spark):
