@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.llm.support import fresh, groups_of, mixed, table, texts, without
+from hopforge.llm.support import fresh, groups_of, mixed, small, table, texts, without
 
 #: Rows of the sketch; its width is at most 1 << WIDEST cells a row, whatever the input: 12 MB as bits.
 DEPTH, WIDEST = 3, 25
 #: Cells that travel together; text bytes per block and per shard.
-SLICE, BLOCK_BYTES, SHARD_BYTES, MOST_BLOCKS = 1 << 18, 4 << 20, 16 << 20, 1 << 20
+SLICE, BLOCK_BYTES, SHARD_BYTES, MOST_BLOCKS = 1 << 18, 2 << 20, 8 << 20, 1 << 20
 #: Words hashed at once.
 STRETCH = 1 << 18
 #: Odd multipliers of the rolling hashes. Fixed values.
@@ -74,7 +74,7 @@ def repeated_keys(docs: DataFrame, n: int, gram: int, width: int) -> np.ndarray:
 
     def count(batches):
         sketch = np.zeros((DEPTH, width), np.uint8)
-        for batch in batches:
+        for batch in small(batches):
             keys = []
             for text in texts(batch.column(0)):
                 words = (text or b"").split()
@@ -148,22 +148,20 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, gram: int = 16) -
     block = fresh(docs.columns, "block")
     dealt = docs.withColumn(block, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
-    def suspects(group: pa.Table):
-        """Of the block's rows: words, and row, start, a, b, doc of all windows estimated repeated."""
-        found, every = [], []
+    def suspects(group: pa.Table) -> list[np.ndarray]:
+        """row, start, a, b, doc of all windows of the block that are estimated repeated."""
+        found = []
         for row, (doc, text) in enumerate(zip(group["doc_id"].to_pylist(), texts(group["text"]), strict=True)):
-            words = (text or b"").split()
-            every.append(words)
-            for start, a, b, key in windows(words, window, gram):
+            for start, a, b, key in windows((text or b"").split(), window, gram):
                 keys, back = np.unique(key, return_inverse=True)
                 at = np.flatnonzero(estimated_repeated(keys, bits.value, width)[back])
                 if len(at):
                     found.append((np.full(len(at), row), at + start, a[at], b[at], np.full(len(at), NO_ID if doc is None else doc)))
         kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int64)
-        return every, [np.concatenate([f[i] for f in found]) if found else np.zeros(0, kinds[i]) for i in range(5)]
+        return [np.concatenate([f[i] for f in found]) if found else np.zeros(0, kinds[i]) for i in range(5)]
 
     def send(group: pa.Table) -> pa.Table:
-        _, (_, _, a, b, doc) = suspects(group)
+        _, _, a, b, doc = suspects(group)
         order, at, least = least_of_equals(a, b, doc)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         a, b = a[order][first], b[order][first]
@@ -183,17 +181,19 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, gram: int = 16) -
     names, kinds = docs.columns, docs.schema
 
     def kept(group: pa.Table, hits: pa.Table) -> pa.Table:
-        every, (row, start, a, b, doc) = suspects(group)
+        row, start, a, b, doc = suspects(group)
         ha, hb, first = hits["a"].to_numpy().view(np.uint64), hits["b"].to_numpy().view(np.uint64), hits["first"].to_numpy()
         order, at, least = least_of_equals(np.concatenate([a, ha]), np.concatenate([b, hb]), np.concatenate([doc, first]))
         mine = order < len(a)
         own = order[mine]
         again = own[least[at[mine]] < doc[own]]
         again = again[np.lexsort((start[again], row[again]))]
-        edges = np.searchsorted(row[again], np.arange(len(every) + 1))
+        row, start = row[again], start[again]
+        edges = np.searchsorted(row, np.arange(group.num_rows + 1))
         out, n_words, n_removed = [], [], []
-        for i, words in enumerate(every):
-            here = start[again[edges[i] : edges[i + 1]]]
+        for i, text in enumerate(texts(group["text"])):
+            words = (text or b"").split()
+            here = start[edges[i] : edges[i + 1]]
             gone = 0
             if len(here):
                 change = np.zeros(len(words) + 1, np.int64)
