@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.llm.support import table
+from hopforge.llm.support import small, table
 
 #: q-gram length, edits per character, longest whole segment, and length and step of the segments of longer texts.
 Q, RATE, WHOLE, SEGMENT, STEP = 8, 0.1, 300, 200, 100
@@ -233,7 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
 
         def run(batches, items=items):
             index = BenchmarkIndex([(NO_ITEM if i is None else i, t) for i, t in items.value], q, rate)
-            for batch in batches:
+            for batch in small(batches):
                 ids = batch.column(0)
                 out: list[tuple] = []
                 if index.segments:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from hopforge.llm.support import fresh, groups_of, mixed, table, texts, without
 
 #: Text bytes per block and per shard; the number of blocks has a ceiling, past which blocks grow.
-BLOCK_BYTES, SHARD_BYTES, MOST_BLOCKS = 4 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, SHARD_BYTES, MOST_BLOCKS = 2 << 20, 16 << 20, 1 << 20
 #: Stands for a null document id, which counts as one document before all others.
 NO_ID = -(1 << 63)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.llm.support import cut, groups_of, parts_for, table, texts
+from hopforge.llm.support import cut, groups_of, parts_for, small, table, texts
 
 #: Rests per packer. A packer leaves at most a few partly filled windows a level.
 RESTS_PER_PACKER = 50_000
@@ -120,7 +120,7 @@ def _tokens(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
     def run(batches):
         encode = _encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 ids = np.array([*encode((text or b"").decode()), end_id], "<u4")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.llm.support import cut, fresh, table, texts
+from hopforge.llm.support import cut, fresh, small, table, texts
 
 #: Characters that count as symbols. Fixed values.
 SYMBOLS = b"#*$%&|<>"
@@ -74,7 +74,7 @@ def line_quality(docs: DataFrame, id_column: str = "doc_id", host: str = "source
     """
 
     def mark(batches):
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(7)]
             for text in texts(batch.column(2)):
                 text = text or b""
@@ -116,7 +116,7 @@ def keep_good_documents(docs: DataFrame, **rules) -> DataFrame:
     names = docs.columns
 
     def strip(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text, removed in zip(texts(batch["text"]), batch[hashes].to_pylist(), strict=True):
                 if removed and text:

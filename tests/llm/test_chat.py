@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import duckdb
@@ -75,7 +76,7 @@ def test_loops_are_lazy():
 @given(st.text(alphabet="\\<|>tend a\n"))
 def test_escape_is_reversible(text):
     assert unescape(escape(text)) == text
-    assert "<|" not in escape(text).replace("\\\\", "").replace("\\<|", "")
+    assert "<|" not in re.sub(r"\\.", "__", escape(text), flags=re.S)
 
 
 def digests(rows):
