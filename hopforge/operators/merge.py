@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopforge.plans.lineage import cut
+
 #: Width of a feature row and ceiling of a part, in MB.
 FEATURES, CEILING = 100, 12_000.0
 
@@ -22,8 +24,11 @@ def cost_mb(nodes: float, avg_degree: float, features: int = FEATURES) -> float:
 
 
 def part_sets(members: DataFrame) -> DataFrame:
-    """(parts, n): how many nodes are in exactly these parts; the array is sorted."""
-    return members.groupBy("node").agg(F.sort_array(F.collect_set("part")).alias("parts")).groupBy("parts").agg(F.count("*").alias("n"))
+    """(parts, n): how many nodes are in exactly these parts; the array is sorted.
+
+    The result is small and read several times, so it is cut off.
+    """
+    return cut(members.groupBy("node").agg(F.sort_array(F.collect_set("part")).alias("parts")).groupBy("parts").agg(F.count("*").alias("n")))
 
 
 def pair_costs(members: DataFrame, avg_degree: float, features: int = FEATURES) -> DataFrame:

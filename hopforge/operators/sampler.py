@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hopforge.functions.ordering import shuffled
 from hopforge.plans.lineage import cut
+from hopforge.plans.placement import Placed, place
 
 #: A batch's number is its part's number times this, plus its number in the part.
 PER_PART = 1 << 20
@@ -21,31 +22,37 @@ def batches(seeds: DataFrame, size: int, seed: int = 42, epoch: int = 0) -> Data
     return placed.select((F.col("part") * PER_PART + F.floor(F.col("at") / size)).cast("long").alias("batch"), "part", (F.col("at") % size).cast("long").alias("pos"), "node")
 
 
-def sample_hop(edges: DataFrame, frontier: DataFrame, hop: int, fanout: int, seed: int = 42) -> DataFrame:
+def sample_hop(edges: DataFrame | Placed, frontier: DataFrame, hop: int, fanout: int, seed: int = 42) -> DataFrame:
     """(batch, hop, occ, k, src, dst): up to ``fanout`` in-neighbours of each occurrence in the frontier.
 
     frontier is (batch, occ, node). A negative fanout takes all. A node that
-    occurs twice is expanded twice.
+    occurs twice is expanded twice. Ranks over ``fanout`` are dropped before
+    rows are shuffled to their occurrence.
     """
-    met = edges.join(frontier.withColumnRenamed("node", "dst"), "dst")
+    ends = frontier.withColumnRenamed("node", "dst")
+    met = edges.meet(ends, few=False) if isinstance(edges, Placed) else edges.join(ends, "dst")
     lot = shuffled(F.lit(seed), "batch", F.lit(hop), "occ", "src")
     k = F.row_number().over(Window.partitionBy("batch", "occ").orderBy(lot, "src"))
-    drawn = met.select("batch", F.lit(hop).cast("long").alias("hop"), "occ", k.cast("long").alias("k"), "src", "dst")
-    return drawn if fanout < 0 else drawn.where(F.col("k") <= fanout)
+    drawn = met.select("batch", F.lit(hop).cast("long").alias("hop"), "occ", k.alias("k"), "src", "dst")
+    if fanout >= 0:
+        drawn = drawn.where(F.col("k") <= fanout)
+    return drawn.withColumn("k", F.col("k").cast("long"))
 
 
 def sample(edges: DataFrame, batch_rows: DataFrame, fanouts: Sequence[int], seed: int = 42, fast: DataFrame | None = None, dedup: bool = False) -> DataFrame:
     """(batch, hop, occ, k, src, dst) of all hops.
 
     The next frontier is the drawn sources, repeats kept (unless dedup), in
-    the order of (occ, k); seeds aren't added again. ``fast`` is an optional
+    the order of (occ, k); seeds aren't added again. For several hops the
+    edges are placed by destination once. ``fast`` is an optional
     (node) table: with it only those nodes can be drawn as sources.
     """
     if fast is not None:
         edges = edges.join(fast.select(F.col("node").alias("src")), "src", "left_semi")
+    graph = place(edges, "dst") if len(fanouts) > 1 else edges
     frontier, out = batch_rows.select("batch", F.col("pos").alias("occ"), "node"), None
     for hop, fanout in enumerate(fanouts, 1):
-        drawn = cut(sample_hop(edges, frontier, hop, fanout, seed))
+        drawn = cut(sample_hop(graph, frontier, hop, fanout, seed))
         out = drawn if out is None else out.unionByName(drawn)
         if dedup:
             drawn = drawn.groupBy("batch", "src").agg(F.min_by("occ", F.struct("occ", "k")).alias("occ"), F.min_by("k", F.struct("occ", "k")).alias("k"))

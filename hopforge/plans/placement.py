@@ -39,14 +39,15 @@ class Placed:
     heavy: DataFrame | None
     hubs: DataFrame | None
 
-    def meet(self, rows: DataFrame) -> DataFrame:
-        """Edges joined with rows on the key; rows has few per key."""
+    def meet(self, rows: DataFrame, few: bool = True) -> DataFrame:
+        """Edges joined with rows on the key. ``few``: rows has at most a few per key, one a part, say."""
         out = self.light.join(rows, self.key)
         if self.heavy is None or self.hubs is None:
             return out
-        # The rows of hubs are few, so they go to the hubs' edges and not the other way round.
+        # If the rows of hubs are few, they go to the hubs' edges and not the other way round;
+        # else both sides are dealt anew, and adaptive planning splits what is too large.
         at_hubs = rows.join(F.broadcast(self.hubs), self.key, "left_semi")
-        return out.unionByName(self.heavy.join(F.broadcast(at_hubs), self.key))
+        return out.unionByName(self.heavy.join(F.broadcast(at_hubs) if few else at_hubs, self.key))
 
 
 def place(edges: DataFrame, key: str, hub: int = HUB) -> Placed:
