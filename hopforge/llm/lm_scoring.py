@@ -141,6 +141,31 @@ def windows(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + np.array(around)]
 
 
+def _commonest(counts: DataFrame) -> DataFrame:
+    """About WORDS of the commonest words, never more.
+
+    Counts fall into bins of a sixteenth of an octave. Whole bins are taken
+    from the top; of the first that doesn't fit, words are taken by hash. So
+    no task sorts the words, and the driver gets two small histograms.
+    """
+    binned = counts.withColumn("bin", F.floor(F.log2("n") * 16)).withColumn("lot", F.pmod(F.xxhash64("word"), F.lit(4096)))
+    room, whole, split = WORDS, None, None
+    for b, n in sorted(binned.groupBy("bin").count().collect(), reverse=True):
+        if n > room:
+            split = b
+            break
+        room, whole = room - n, b
+    taken = F.lit(False) if whole is None else F.col("bin") >= whole
+    if split is not None:
+        lots = 0
+        for lot, n in sorted(binned.where(F.col("bin") == split).groupBy("lot").count().collect()):
+            if n > room:
+                break
+            room, lots = room - n, lot + 1
+        taken = taken | ((F.col("bin") == split) & (F.col("lot") < lots))
+    return binned.where(taken).select("word", "n")
+
+
 def count_words(docs: DataFrame) -> Vocabulary:
     """The vocabulary of a corpus; at most WORDS + HASHED rows reach the driver."""
 
@@ -160,7 +185,7 @@ def count_words(docs: DataFrame) -> Vocabulary:
         yield rows()
 
     counts = cut(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    top = sorted(_commonest(counts).collect(), key=lambda r: (-r[1], bytes(r[0])))
     ranked, n = [bytes(r[0]) for r in top], [r[1] for r in top]
     known = set(ranked)
 
