@@ -96,3 +96,24 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP7_SQL = """
+WITH byte AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crcs
+  FROM range(256) t(i)
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size,
+         md5(coalesce(text, '')) || printf('%016x', xor(doc_id::HUGEINT, 9223372036854775808::HUGEINT)) AS key
+  FROM documents
+), sums AS (
+  SELECT *, sum(size) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM d
+), dealt AS (
+  SELECT *, least(15, (2 * upto - size) * 16 // (2 * total))::INT AS shard FROM sums
+)
+SELECT doc_id, size::BIGINT AS size,
+       xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+                       lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32,
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key) - 1 AS slot, NULL::INT AS grown_shard
+FROM dealt, byte
+"""

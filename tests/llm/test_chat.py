@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from hopforge.llm.chat import escape, format_conversations, op2_template_compiler, read_back, unescape
+from hopforge.llm.chat import OP2_SQL, escape, format_conversations, op2_template_compiler, read_back, unescape
 from hopforge.llm.template import Template, TemplateError, const, fold, parse
 
 
@@ -120,3 +120,8 @@ def test_query(spark):
     tricky = r"\### Assistant: </turn> ok"
     rows += [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)]
     assert got(op2_template_compiler(spark, "/root/testdata/sf0.01")) == digests(rows)
+
+
+def test_query_equals_sql(spark):
+    duckdb.sql("CREATE OR REPLACE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    assert sorted(map(tuple, op2_template_compiler(spark, "/root/testdata/sf0.01").collect())) == sorted(duckdb.sql(OP2_SQL).fetchall())

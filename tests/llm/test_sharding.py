@@ -4,7 +4,7 @@ import zlib
 import duckdb
 import pytest
 
-from hopforge.llm.sharding import assign_shards, op7_sampled_splitters, shard_documents
+from hopforge.llm.sharding import OP7_SQL, assign_shards, op7_sampled_splitters, shard_documents
 
 
 def check(rows, docs):
@@ -62,3 +62,8 @@ def test_query(spark):
     docs = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
     check(out.collect(), docs)
     assert {r.law for r in out.select("law").distinct().collect()} == {"bytes"}
+
+
+def test_query_equals_sql(spark):
+    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert sorted(map(tuple, op7_sampled_splitters(spark, "/root/testdata/sf0.01").collect())) == sorted(duckdb.sql(OP7_SQL).fetchall())
