@@ -51,8 +51,9 @@ class Placed:
 
 
 def place(edges: DataFrame, key: str, hub: int = HUB) -> Placed:
-    hubs = cut(edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hub).select(key))
+    hubs = edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hub).select(key)
     if not hubs.count():
         return Placed(key, placed(edges, key), None, None)
+    hubs = cut(hubs)
     heavy = cut(edges.join(F.broadcast(hubs), key, "left_semi"))
     return Placed(key, placed(edges.join(F.broadcast(hubs), key, "left_anti"), key), heavy, hubs)
