@@ -187,7 +187,8 @@ def near_copies(docs: DataFrame, radius: int = 5, shingle_words: int = 5, shingl
 def _named(marked: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
     """marked (with node) and component_id, the smallest ``first`` of a component's prints."""
     rooted = prints.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Cut off, so that a component with very many nodes can be split where it is joined.
+    named = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     return marked.join(rooted.join(named, "root").select("node", "component_id"), "node")
 
 
