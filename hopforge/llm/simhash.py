@@ -6,6 +6,9 @@ each is looked up at the points of a small Hamming ball around its value in
 that segment; what the table holds there is verified over all 64 bits.
 Buckets that hold many fingerprints are linked in blocks, which report a
 spanning forest and not their pairs. Links then become components.
+
+The pipeline's near copies are found by bands of smallest shingle hashes and
+verified by the exact Jaccard similarity of their shingle hashes.
 """
 
 from __future__ import annotations
@@ -23,21 +26,20 @@ from hopforge.llm.support import cut, groups_of, small, table, texts
 
 #: A bucket with more table entries than this is linked in blocks of BLOCK fingerprints.
 CROWDED, BLOCK = 32, 4096
+#: Near copies: bands, minima a band, and the hash orders whose minima they are.
+BANDS, ROWS = 12, 4
+ORDERS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+#: Up to FEW nodes of a band are verified by pairs, more in blocks of SETS.
+FEW, SETS = 8, 512
 
 
-def fingerprint(text: bytes | None, shingle_words: int | None) -> int:
-    """The fingerprint of a whole text, as a signed 64-bit number; 0 without words.
-
-    Without shingle_words its features are the distinct words: a word that
-    every text repeats counts once, or texts of one language would crowd.
-    """
+def fingerprint(text: bytes | None, shingle_words: int) -> int:
+    """The fingerprint of a whole text, as a signed 64-bit number; 0 without words."""
     words = (text or b"").lower().split()  # of bytes: ASCII blanks and letters only
     if not words:
         return 0
     n, digest = shingle_words, xxhash.xxh64_intdigest
-    if n is None:
-        hashes = [digest(w, 42) for w in set(words)]
-    elif len(words) <= n:
+    if len(words) <= n:
         hashes = [digest(b" ".join(words), 42)]
     else:
         hashes = [digest(b" ".join(words[i : i + n]), 42) for i in range(len(words) - n + 1)]
@@ -66,19 +68,14 @@ def ball(bits: int, radius: int) -> list[int]:
     return masks
 
 
-def spanning_forest(prints: np.ndarray, radius: int, seconds: np.ndarray | None = None, second_radius: int = 64) -> list[tuple[int, int]]:
-    """Links (indices) that connect all fingerprints connected by links within the radius.
-
-    With a second fingerprint each, a link must be within its radius too.
-    """
+def spanning_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (indices) that connect all fingerprints connected by links within the radius."""
     left, out = np.arange(len(prints)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
             near = np.bitwise_count(prints[left] ^ prints[at]) <= radius
-            if seconds is not None:
-                near &= np.bitwise_count(seconds[left] ^ seconds[at]) <= second_radius
             if near.any():
                 reached = left[near].tolist()
                 out += [(at, x) for x in reached]
@@ -87,45 +84,37 @@ def spanning_forest(prints: np.ndarray, radius: int, seconds: np.ndarray | None
     return out
 
 
-def _links(prints: DataFrame, radius: int, second_radius: int | None = None) -> DataFrame:
-    """(a, b) of distinct fingerprints ``f``: enough links for all components.
-
-    With a second_radius, prints is (node, f, g), g is a second fingerprint
-    that must be within it, and a and b are nodes; else f is the node.
-    """
-    own = ["f"] if second_radius is None else ["node", "f", "g"]
+def _links(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of distinct fingerprints ``f``: enough links for all components."""
     entries, probes = [], []
     for i, (at, bits, near) in enumerate(segments(radius)):
         value = F.shiftrightunsigned("f", at).bitwiseAND(F.lit((1 << bits) - 1))
         key = lambda v, i=i: (v + F.lit(i << 32)).alias("key")
-        entries.append(prints.select(key(value), *own))
+        entries.append(prints.select(key(value), "f"))
         # Of two values one bit apart, only the even one looks for the other.
         masks = ball(bits, near)
         if near == 1:
             masks = F.when(F.bit_count(value) % 2 == 0, F.array(*map(F.lit, masks))).otherwise(F.array(F.lit(0)))
         else:
             masks = F.array(*map(F.lit, masks))
-        probes.append(prints.select(F.explode(masks).alias("mask"), *own, value.alias("v")).select(key(F.col("v").bitwiseXOR(F.col("mask").cast("long"))), *own))
+        probes.append(prints.select(F.explode(masks).alias("mask"), "f", value.alias("v")).select(key(F.col("v").bitwiseXOR(F.col("mask").cast("long"))), "f"))
     entries, probes = (reduce(DataFrame.unionByName, x) for x in (entries, probes))
     crowded = cut(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED))
-    roomy = entries.join(crowded, "key", "left_anti").select("key", *[F.col(c).alias(f"{c}2") for c in own])
-    within = lambda c, r: F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) <= r
-    close = within("f", radius) if second_radius is None else within("f", radius) & within("g", second_radius)
-    few = probes.join(roomy, "key").where((F.col(own[0]) != F.col(f"{own[0]}2")) & close).select(F.col(own[0]).alias("a"), F.col(f"{own[0]}2").alias("b"))
+    roomy = entries.join(crowded, "key", "left_anti").select("key", F.col("f").alias("f2"))
+    close = F.bit_count(F.col("f").bitwiseXOR(F.col("f2"))) <= radius
+    few = probes.join(roomy, "key").where((F.col("f") != F.col("f2")) & close).select(F.col("f").alias("a"), F.col("f2").alias("b"))
 
     # What meets in a crowded bucket is dealt into blocks, and each pair of blocks is linked once.
     meeting = cut(probes.join(crowded.select("key"), "key"))
     blocks = meeting.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(own[0]), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")
     dealt = meeting.join(blocks, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), *own)
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "f")
 
     def forests(batches):
         for _, run in groups_of(batches, 0):
-            nodes, first = np.unique(run[own[0]].to_numpy(), return_index=True)
-            f = run["f"].to_numpy()[first].view(np.uint64)
-            g = None if second_radius is None else run["g"].to_numpy()[first].view(np.uint64)
-            found = np.array(spanning_forest(f, radius, g, second_radius or 0), np.int64).reshape(-1, 2)
+            nodes = np.unique(run["f"].to_numpy())
+            found = np.array(spanning_forest(nodes.view(np.uint64), radius), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, i]]) for i in (0, 1)], names=["a", "b"])
 
     many = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(forests, "a long, b long")
@@ -160,28 +149,120 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) ->
     return named.select("doc_id", F.col("f").alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, radius: int = 5, shingle_words: int = 5, shingle_bits: int = 12) -> DataFrame:
-    """A row per document: doc_id, component_id, by word fingerprints verified on shingles.
+def shingles(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending; none without words."""
+    words = (text or b"").lower().split()
+    n, digest = shingle_words, xxhash.xxh64_intdigest
+    if len(words) <= n:
+        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
+    return np.unique(np.array([digest(b" ".join(words[i : i + n]), 42) for i in range(len(words) - n + 1)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of ROWS minima of the shingle hashes, each in another order."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, ((hashes[at : at + (1 << 12)] ^ ORDERS[0][:, None]) * ORDERS[1][:, None]).min(1))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (indices) that connect all sets connected by pairs of at least this Jaccard similarity."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(int(codes.max()) + 1, bool)
+    left, out = np.arange(len(sets)), []
+    flat, where = codes, starts
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        flat, where = flat[len(flat) - int(sizes[left].sum()) :], np.cumsum(sizes[left]) - sizes[left]
+        while queue and len(left):
+            at = queue.pop()
+            own = codes[starts[at] : starts[at] + sizes[at]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], where, dtype=np.int64)
+            mark[own] = False
+            near = both >= similarity * (sizes[left] + sizes[at] - both) - 1e-6
+            if near.any():
+                reached = left[near].tolist()
+                out += [(at, x) for x in reached]
+                queue += reached
+                flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
+                where = np.cumsum(sizes[left]) - sizes[left]
+    return out
+
+
+def _similar(marked: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of nodes that share a band and are similar: enough links for all components.
 
-    A copy with a few words changed keeps nearly all words but loses
-    shingle_words shingles a change, so distinct words make the fingerprints
-    that are searched within ``radius``. What is found is verified by the
-    fingerprints of the texts' word shingles: shingle_bits of 64 bits stand
-    for a share of equal shingles of 0.8, plus a margin of one standard error
-    for what the fingerprint can't tell. Other cases as in near_duplicates.
+    marked has (row, node, bands, shingles), prints the row that stands for each node.
     """
+    met = cut(marked.select("row", "bands").join(prints, "row").select("node", F.explode("bands").alias("band")))
+    sized = met.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    # The same nodes often meet in many bands; one of these tells all.
+    sized = cut(sized.groupBy("n", "members").agg(F.min("band").alias("band")))
+    own = met.join(sized.where(F.col("n") <= FEW), "band").select("band", "node")
+    pairs = own.join(own.withColumnRenamed("node", "b"), "band").where("node < b").select(F.col("node").alias("a"), "b").distinct()
+    found = met.join(sized, "band").select("node").distinct()
+    rows = prints.join(found, "node", "left_semi").select("row")
+    held = cut(marked.select("row", "node", "shingles").join(rows, "row", "left_semi").select("node", "shingles"))
+    left, right = (held.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
+
+    def verify(batches):
+        for batch in small(batches):
+            one, two = ([np.frombuffer(x, "<u8") for x in batch.column(i).to_pylist()] for i in (2, 3))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True)], np.int64)
+            every = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64) - both
+            keep = pa.array(both >= similarity * every - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    few = pairs.join(left, "a").join(right, "b").select("a", "b", "as", "bs").mapInArrow(verify, "a long, b long")
+
+    # What meets in larger buckets is dealt into blocks, and each pair of blocks is linked once.
+    many = met.join(sized.where(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / SETS).cast("int")), "band")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = many.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node").join(held, "node").select("group", "node", "shingles")
+
+    def forests(batches):
+        for _, run in groups_of((part for batch in batches for part in small([batch])), 0):
+            names = run["node"].to_numpy()
+            found = np.array(similar_forest([np.frombuffer(x, "<u8") for x in run["shingles"].to_pylist()], similarity), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(names[found[:, i]]) for i in (0, 1)], names=["a", "b"])
+
+    return few.unionByName(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(forests, "a long, b long"))
+
+
+def _components(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """A row per document: doc_id, copy (a hash of its text), node (of its shingles) and component_id."""
 
     def run(batches):
         for batch in small(batches):
-            every = texts(batch.column(1))
-            one, more = ([fingerprint(t, n) for t in every] for n in (None, shingle_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.int64()), pa.array(more, pa.int64())], names=["doc_id", "f", "g"])
-
-    marked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f long, g long")
-    marked = cut(marked.withColumn("node", F.xxhash64("f", "g")))
-    prints = cut(marked.groupBy("node", "f", "g").agg(F.min("doc_id").alias("first")))
-    roots = components(_links(prints.select("node", "f", "g"), radius, shingle_bits))
-    return _named(marked, prints, roots).select("doc_id", "component_id")
+            every = [shingles(t, shingle_words) for t in texts(batch.column(1))]
+            node = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in every]
+            bands = [band_keys(x).tolist() if len(x) else [] for x in every]
+            held = [x.astype("<u8").tobytes() for x in every]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(held, pa.binary())], names=["doc_id", "copy", "node", "bands", "shingles"])
+
+    marked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("copy")).mapInArrow(run, "doc_id long, copy long, node long, bands array<long>, shingles binary")
+    marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))
+    prints = cut(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
+    roots = components(_similar(marked, prints.select("node", "row"), similarity))
+    return _named(marked.select("doc_id", "copy", "node"), prints.select("node", "first"), roots)
+
+
+def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """A row per document: doc_id, component_id, by the Jaccard similarity of the texts' sets of word shingles.
+
+    Texts of equal sets are one node. Nodes that share one of BANDS keys, each
+    of ROWS smallest shingle hashes, are found: a pair of similarity 0.8 with
+    a chance of 1 - (1 - 0.8^4)^12 = 0.998, and no pair is linked unless the
+    exact similarity of its 64-bit shingle hashes is at least ``similarity``.
+    A text of fewer words is one shingle; texts without words are copies of
+    each other. component_id is the smallest doc_id reachable over links.
+    Other cases as in near_duplicates.
+    """
+    return _components(docs, shingle_words, similarity).select("doc_id", "component_id")
 
 
 def _named(marked: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:

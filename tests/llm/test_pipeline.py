@@ -85,3 +85,33 @@ def test_near_copies_are_caught_and_others_left(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(120)) and all(got[a] == a for a, _ in pairs)
     assert got[5000] == got[5001] == 5000 and got[None] is None
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def jaccard(a, b):
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("low, high, linked", [(0.8, 0.84, 1), (0.7, 0.795, 0)])
+def test_near_copies_follow_the_exact_similarity(spark, low, high, linked):
+    rnd = random.Random(21)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(2, 9))) for _ in range(3000)]
+    docs = []
+    while len(docs) < 400:
+        w = rnd.choices(words, k=rnd.randrange(100, 500))
+        v = [rnd.choice(words) if rnd.random() < rnd.choice([0.02, 0.03, 0.04]) else x for x in w]
+        if low <= jaccard(" ".join(w), " ".join(v)) <= high:
+            docs += [(len(docs), " ".join(w)), (len(docs) + 1, " ".join(v))]
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    together = sum(got[i] == got[i + 1] for i in range(0, 400, 2))
+    assert together >= 196 if linked else together == 0
+
+
+def test_large_groups_of_near_copies_are_linked_in_blocks(spark, monkeypatch):
+    from hopforge.llm import simhash
+
+    monkeypatch.setattr(simhash, "SETS", 50)
+    rnd = random.Random(4)
+    w = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(w[:at] + [f"new{i}"] + w[at + 1 :])) for i in range(300) for at in [rnd.randrange(200)]]
+    assert {r.component_id for r in near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {0}
