@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark texts are cut into segments. If a document holds a segment with at
+Benchmark texts are looked for whole, if they aren't long, and cut into
+overlapping segments, so that a passage is found too. If a document holds a segment with at
 most k edits, the two share at least m - q + 1 - k * q of the segment's m - q
 + 1 q-grams, and these lie on k + 1 neighbouring diagonals. Shared q-grams are
 counted in bands of twice that width that overlap by half; bands that meet the
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from hopforge.llm.support import small, table
 
-#: q-gram length, edits per character, longest whole segment, and length and step of the segments of longer texts.
-Q, RATE, WHOLE, SEGMENT, STEP = 8, 0.1, 300, 200, 100
+#: q-gram length, edits per character, longest text looked for whole, and length and step of the segments of all texts.
+Q, RATE, WHOLE, SEGMENT, STEP = 8, 0.1, 300, 100, 25
 #: Benchmark characters held at once on each executor; documents are read once per so many.
 BENCHMARK_CHARS = 16 << 20
 #: Characters of documents looked up at once.
@@ -88,18 +89,25 @@ def banded_edits(segment: np.ndarray, text: np.ndarray, lo: int, hi: int, k: int
 
 
 class BenchmarkIndex:
-    """q-gram postings of the segments of some benchmark texts."""
+    """q-gram postings of some benchmark texts and of their segments.
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE):
-        self.q, owners = q, defaultdict(set)
+    Texts of up to ``uncut`` characters are looked for whole alone; find_leaks
+    cuts all that are longer than a segment.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE, uncut: int = 120):
+        # Whole texts first: where one is found, its segments need no look.
+        self.q, owners, parts = q, defaultdict(set), defaultdict(set)
         for item, text in items:
             text = normalised(text)
-            cuts = [text] if len(text) <= WHOLE else [text[i : i + SEGMENT] for i in [*range(0, len(text) - SEGMENT, STEP), len(text) - SEGMENT]]
-            for piece in cuts:
-                if len(piece) >= q:
-                    owners[piece].add(item)
-        self.segments = list(owners)
-        self.items = [sorted(owners[s]) for s in self.segments]
+            if q <= len(text) <= WHOLE:
+                owners[text].add(item)
+            if len(text) > max(uncut, SEGMENT):
+                for i in [*range(0, len(text) - SEGMENT, STEP), len(text) - SEGMENT]:
+                    parts[text[i : i + SEGMENT]].add(item)
+        self.segments = [*owners, *parts]
+        self.whole = len(owners)
+        self.items = [sorted(x) for x in (*owners.values(), *parts.values())]
         self.codes = [codes(s) for s in self.segments]
         size = np.array([len(s) for s in self.segments], np.int64)
         self.edits = np.minimum((size * rate).astype(np.int64), (size - q) // q)
@@ -166,7 +174,7 @@ class BenchmarkIndex:
 
     def find(self, docs: list[str]):
         """Yields (document's place, item, start, end, edits), the best match of each document and item."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
         held: list[tuple[int, int, str]] = []
         size = 0
 
@@ -176,7 +184,9 @@ class BenchmarkIndex:
             begin = np.cumsum(lengths) - lengths
             for segment, where, lo, hi in self.candidates(c, begin):
                 doc, at, text = held[where]
-                if all(best.get((doc, i), (1,))[0] == 0 for i in self.items[segment]):
+                part = segment >= self.whole
+                # (part, 0) is the best that this segment can give.
+                if all(best.get((doc, i), (True, 1)) < (part, 1) for i in self.items[segment]):
                     continue
                 lo, hi, m, k = lo - int(begin[where]), hi - int(begin[where]), len(self.segments[segment]), int(self.edits[segment])
                 left, right = max(0, lo), min(len(text), hi + m + 1)
@@ -188,7 +198,7 @@ class BenchmarkIndex:
                 else:
                     continue
                 for item in self.items[segment]:
-                    new = (edits, at + max(0, end - m), at + end)
+                    new = (part, edits, at + max(0, end - m), at + end)
                     best[doc, item] = min(best.get((doc, item), new), new)
 
         for doc, text in enumerate(docs):
@@ -203,7 +213,7 @@ class BenchmarkIndex:
                     held, size = [], 0
         if held:
             look()
-        for (doc, item), (edits, start, end) in sorted(best.items()):
+        for (doc, item), (_, edits, start, end) in sorted(best.items()):
             yield doc, item, start, end, edits
 
 
@@ -212,10 +222,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
 
     docs has doc_id (long) and text; benchmark has item_id (long) and text.
     Both are compared in lower case, without ASCII punctuation. An item is
-    held if the whole of it, or a segment of one over WHOLE characters, is
+    held if the whole of it (up to WHOLE characters) or one of its segments is
     found with at most ``rate`` edits per character (fewer for texts so short
-    that no q-gram would be left). start and end are code points of the
-    normalised text. Of several places the one with the fewest edits counts,
+    that no q-gram would be left). Segments have SEGMENT characters and begin
+    every STEP ones, so each verbatim passage of SEGMENT + STEP - 1 characters
+    holds one. start and end are code points of the normalised text. A whole
+    item goes before a segment; then the place with the fewest edits counts,
     then the first.
 
     The benchmark is the stated query set: it is held on executors in blocks
@@ -232,7 +244,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
         items = spark.sparkContext.broadcast([(i, t) for i, t in mine.collect() if t])  # BENCHMARK_CHARS or so
 
         def run(batches, items=items):
-            index = BenchmarkIndex([(NO_ITEM if i is None else i, t) for i, t in items.value], q, rate)
+            index = BenchmarkIndex([(NO_ITEM if i is None else i, t) for i, t in items.value], q, rate, SEGMENT)
             for batch in small(batches):
                 ids = batch.column(0)
                 out: list[tuple] = []

@@ -101,3 +101,25 @@ def test_query_against_exact_search(spark):
     rows = op8_q_gram_lemma(spark, "/root/testdata/sf0.01").collect()
     assert {(r.doc_id, r.item_id) for r in rows if r.edits == 0 and (r.doc_id, r.item_id) in want} == want
     assert np.mean([(r.doc_id, r.item_id) in want for r in rows]) > 0.9
+
+
+def test_items_little_longer_than_a_segment(spark):
+    item = "the seven grey ships that left the harbour before dawn had all come back again by the end of that same week"
+    docs = spark.createDataFrame([(1, "so " + item[:100] + " but not the rest of it")], "doc_id long, text string")
+    assert len(item) > 100 and [r.doc_id for r in find_leaks(docs, spark.createDataFrame([(3, item + " it seems")], "item_id long, text string")).collect()] == [1]
+
+
+@pytest.mark.parametrize("size", [130, 240, 299, 330, 700])
+def test_excerpts_are_found(size):
+    rnd = random.Random(size)
+    text = lambda n: normalised(" ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(2, 9))) for _ in range(n)))[:n]
+    item = text(size).strip().ljust(size, "z")
+    index = BenchmarkIndex([(7, item)])
+    starts = sorted({0, (size - 124) // 2, (size - 124) // 3, size - 124})
+    docs = [text(300) + " " + item[i : i + 124] + " " + text(300) for i in starts] + [text(700)]
+    # All but a few characters of the shortest are the whole of it with edits.
+    assert [(p, i, size > 130 and e) for p, i, _, _, e in index.find(docs)] == [(p, 7, 0) for p in range(len(starts))]
+    if size <= 300:  # a whole item goes before a better segment
+        edited = item[:5] + "#" + item[6:]
+        doc, _, start, end, edits = next(index.find([text(50) + " " + edited + " " + text(50)]))
+        assert (edits, end - start) == (1, size)
