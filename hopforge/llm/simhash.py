@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopforge.llm.components import components
-from hopforge.llm.support import cut, groups_of, small, table, texts
+from hopforge.llm.support import cut, fresh, groups_of, small, table, texts
 
 #: A bucket with more table entries than this is linked in blocks of BLOCK fingerprints.
 CROWDED, BLOCK = 32, 4096
@@ -234,7 +234,7 @@ def _similar(marked: DataFrame, prints: DataFrame, similarity: float) -> DataFra
 
 
 def _components(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """A row per document: doc_id, copy (a hash of its text), node (of its shingles) and component_id."""
+    """A row per document: doc_id, copy (a hash of its text), node (of its shingles), root (of its component) and component_id."""
 
     def run(batches):
         for batch in small(batches):
@@ -270,13 +270,22 @@ def _named(marked: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = prints.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     # Cut off, so that a component with very many nodes can be split where it is joined.
     named = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    return marked.join(rooted.join(named, "root").select("node", "component_id"), "node")
+    return marked.join(rooted.join(named, "root").select("node", "root", "component_id"), "node")
 
 
 def keep_first_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near copies of a smaller doc_id; repeated rows of the first stay once."""
-    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """docs without near copies of a smaller doc_id; repeated rows of the first stay once.
+
+    Rows are judged by doc_id and text, so different texts of one id, or
+    without one, go only if they are near copies; null ids count as the largest.
+    """
+    found = _components(docs, 5, 0.8)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id_"), F.col("copy").alias("copy_"))
+    first = found.groupBy("root").agg(F.min(order).alias("x")).select("x.id_", "x.copy_")
+    names, copy = docs.columns, F.xxhash64("text")
+    mine = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["id_"]) & (copy == first["copy_"]), "left_semi")
+    key = fresh(names, "copy")
+    return mine.withColumn(key, copy).dropDuplicates(["doc_id", key]).select(*names)
 
 
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

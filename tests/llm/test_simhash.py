@@ -106,3 +106,13 @@ def test_query_against_brute_force(spark):
     prints = [plain_print(t) for _, t in docs]
     want = {d: (f"{p:016x}", c) for (d, _), p, c in zip(docs, prints, brute_components(prints, [d for d, _ in docs]), strict=True)}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in op3_multi_index(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_different_texts_of_one_id_stay(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(100)) for x in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " more"), (4, texts[2]), (4, texts[3]), (4, texts[3]), (3, texts[0] + " more"), (5, None)]
+    got = keep_first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.doc_id is None for r in got) == 1 and sum(r.doc_id == 4 for r in got) == 2
+    assert sorted(r.doc_id for r in got if r.doc_id) == [3, 4, 4, 5]
+    # Null and empty texts have no words and are copies.
+    assert keep_first_of_each(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")).count() == 1
