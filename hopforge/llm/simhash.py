@@ -192,20 +192,29 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def _similar(marked: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+def _similar(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """(a, b) of nodes that share a band and are similar: enough links for all components.
 
-    marked has (row, node, bands, shingles), prints the row that stands for each node.
+    docs has (doc_id, text, copy); nodes has the doc_id and copy that stand for
+    each node, and its bands. Only nodes that share a band have their shingles
+    held, worked out once more from the texts.
     """
-    met = cut(marked.select("row", "bands").join(prints, "row").select("node", F.explode("bands").alias("band")))
+    met = cut(nodes.select("node", F.explode("bands").alias("band")))
     sized = met.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
     # The same nodes often meet in many bands; one of these tells all.
     sized = cut(sized.groupBy("n", "members").agg(F.min("band").alias("band")))
     own = met.join(sized.where(F.col("n") <= FEW), "band").select("band", "node")
     pairs = own.join(own.withColumnRenamed("node", "b"), "band").where("node < b").select(F.col("node").alias("a"), "b").distinct()
     found = met.join(sized, "band").select("node").distinct()
-    rows = prints.join(found, "node", "left_semi").select("row")
-    held = cut(marked.select("row", "node", "shingles").join(rows, "row", "left_semi").select("node", "shingles"))
+    who = nodes.join(found, "node", "left_semi").select("node", F.col("doc_id").alias("id_"), F.col("copy").alias("copy_"))
+
+    def again(batches):
+        for batch in small(batches):
+            held = [shingles(t, shingle_words).astype("<u8").tobytes() for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["node", "shingles"])
+
+    own_texts = docs.join(who, docs["doc_id"].eqNullSafe(who["id_"]) & (docs["copy"] == who["copy_"])).select("node", "text")
+    held = cut(own_texts.mapInArrow(again, "node long, shingles binary").dropDuplicates(["node"]))
     left, right = (held.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
 
     def verify(batches):
@@ -241,13 +250,15 @@ def _components(docs: DataFrame, shingle_words: int, similarity: float) -> DataF
             every = [shingles(t, shingle_words) for t in texts(batch.column(1))]
             node = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in every]
             bands = [band_keys(x).tolist() if len(x) else [] for x in every]
-            held = [x.astype("<u8").tobytes() for x in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(held, pa.binary())], names=["doc_id", "copy", "node", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "copy", "node", "bands"])
 
-    marked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("copy")).mapInArrow(run, "doc_id long, copy long, node long, bands array<long>, shingles binary")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
+    marked = docs.mapInArrow(run, "doc_id long, copy long, node long, bands array<long>")
     marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))
     prints = cut(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
-    roots = components(_similar(marked, prints.select("node", "row"), similarity))
+    # Of equal shingle sets one row stands for all.
+    nodes = marked.join(prints.select("row"), "row", "left_semi")
+    roots = components(_similar(docs, nodes, shingle_words, similarity))
     return _named(marked.select("doc_id", "copy", "node"), prints.select("node", "first"), roots)
 
 
