@@ -24,8 +24,8 @@ from hopforge.llm.support import cut, small, table, texts
 
 #: Words with a slot of their own, hashed slots, classes, embedding and hidden width, tokens on each side.
 WORDS, HASHED, CLASSES, WIDTH, HIDDEN, SIDE = 4096, 1024, 64, 16, 48, 3
-#: Rounds of training, one token in STRIDE is a target, targets per step, step size.
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 512, 0.05
+#: Rounds of training, one token in STRIDE is a target in each (with as many rounds every token is), targets per step, step size.
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.05
 #: Words that a worker remembers the slots of before it starts anew.
 KNOWN = 500_000
 #: Parameters are averaged as whole numbers of this fraction, so that the order of addition doesn't matter.
@@ -219,9 +219,10 @@ def _unpacked(column: pa.Array):
 
 
 def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """A network trained on every encoded document; the targets are one token in ``stride`` of each.
+    """A network trained on every encoded document; the targets of a round are one token in ``stride`` of each.
 
-    Which tokens are targets shifts with the text, so all places are seen.
+    The targets move by one place a round, so over ``stride`` rounds, or a
+    multiple, each token is a target equally often.
     """
     sc = encoded.sparkSession.sparkContext
     network = Network(vocabulary.size)
@@ -236,27 +237,28 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stri
             waiting = seen = 0
 
             def steps(least: int):
-                nonlocal held, waiting
+                nonlocal held, waiting, seen
                 window = np.concatenate([h[0] for h in held])
                 target = np.concatenate([h[1] for h in held])
                 order = np.random.default_rng(number).permutation(len(window))
-                for i in range(0, len(order) - least + 1, BATCH):
+                upto = len(order) if least == 1 else len(order) // BATCH * BATCH
+                for i in range(0, upto, BATCH):
                     some = order[i : i + BATCH]
                     mine.step(window[some], target[some], squares)
-                held, waiting = [], 0
+                # What fills no batch is carried over.
+                rest = order[upto:]
+                held, waiting, seen = [(window[rest], target[rest])], len(rest), seen + upto
 
             for batch in small(batches):
                 for slots in _unpacked(batch.column(0)):
                     for lo in range(0, len(slots), 1 << 18):
-                        at = np.arange(lo + (len(slots) + number) % stride, min(len(slots), lo + (1 << 18)), stride)
+                        at = np.arange(lo + (len(slots) + number - lo) % stride, min(len(slots), lo + (1 << 18)), stride)
                         if len(at):
                             held.append((windows(slots, at), classes[slots[at]]))
                             waiting += len(at)
                     if waiting > 64 * BATCH:
-                        seen += waiting
                         steps(BATCH)
             if waiting:
-                seen += waiting
                 steps(1)
             if seen:
                 whole = np.round(mine.flat.astype(np.float64) * GRAIN).astype(np.int64)

@@ -95,3 +95,31 @@ def test_odd_rows(spark, corpus):
 def test_query(spark):
     rows = op10_pseudo_likelihood(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(r.log_likelihood <= 0 for r in rows)
+
+
+def test_every_token_is_a_target_once(spark, monkeypatch):
+    from hopforge.llm import lm_scoring as L
+
+    rnd = random.Random(5)
+    sizes = [1, 1, 2, 3, 40_001, 30_000, 700]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices("abcdefgh", k=n))) for i, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    v = count_words(docs)
+    encoded = [r.slots for r in encode(docs, v).collect()]
+    trained = []
+
+    class Batches:
+        sparkSession = spark
+
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, learn, schema):  # here, so that the steps can be counted
+            import pyarrow as pa
+
+            rows = list(learn([pa.RecordBatch.from_arrays([pa.array(encoded, pa.binary())], names=["slots"])]))
+            return spark.createDataFrame([r for b in rows for r in b.to_pylist()], schema)
+
+    plain = L.Network.step
+    monkeypatch.setattr(L.Network, "step", lambda self, window, target, squares: (trained.append(len(target)), plain(self, window, target, squares))[1])
+    train(Batches(), v)
+    assert sum(trained) == sum(sizes) and sum(n < L.BATCH for n in trained) <= L.ROUNDS
