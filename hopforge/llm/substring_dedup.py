@@ -2,31 +2,33 @@
 
 A window is a run of words. Its sketch key is the smallest hash of the short
 word runs inside it, so equal windows have equal keys and neighbours mostly
-share one: a document counts few keys, and a key's count is never below that
-of a window under it. Each input partition counts its documents' keys in a
-count-min sketch of fixed width; the merged sketch overestimates. In the
-second pass only windows whose key is estimated repeated are grouped, by
-their own 96-bit hash. An estimate too high costs rows there; none is lost.
+share one: a document counts few keys, and a key's count is never below the
+number of documents that hold a window under it. Documents are dealt into
+blocks. Each block counts its documents' keys in a count-min sketch, of which
+it sends the cells that aren't zero. The sketch is as wide as the input asks
+for and lies in shards: all cells of a key are in one shard, which adds up the
+blocks' cells and tells each block which of its own cells were counted twice
+or more. In the second pass only windows whose key is estimated repeated are
+grouped, by their own 96-bit hash. An estimate too high costs rows there; none
+is lost.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.llm.support import fresh, groups_of, mixed, small, table, texts, without
+from hopforge.llm.support import fresh, groups_of, mixed, table, texts, without
 
-#: Rows of the sketch; its width is at most 1 << WIDEST cells a row, whatever the input: 12 MB as bits.
-DEPTH, WIDEST = 3, 25
-#: Cells that travel together; text bytes per block and per shard.
-SLICE, BLOCK_BYTES, SHARD_BYTES, MOST_BLOCKS = 1 << 18, 2 << 20, 8 << 20, 1 << 20
-#: Words hashed at once.
-STRETCH = 1 << 18
+#: Rows of the sketch, and text bytes per cell of a row. Prose has a key in 140 bytes, so a row has some nine cells a key.
+DEPTH, CELL_BYTES = 3, 16
+#: Text bytes per block, per shard of the sketch and per shard of the windows.
+BLOCK_BYTES, SKETCH_BYTES, SHARD_BYTES = 2 << 20, 64 << 20, 8 << 20
+#: Cells of a row in one shard of the sketch.
+WIDTH = SKETCH_BYTES // CELL_BYTES
 #: Odd multipliers of the rolling hashes. Fixed values.
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)
@@ -34,6 +36,8 @@ NO_ID = -(1 << 63)
 
 def rolled(w: np.ndarray, factor: int, n: int) -> np.ndarray:
     """A polynomial hash of each n consecutive words, by doubling."""
+    if len(w) < n:
+        return w[:0]
     out, done, block, size, power = None, 0, w, 1, factor
     while True:
         if n & size:
@@ -57,77 +61,89 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - n + size], x[n - size :]) if n > size else x
 
 
-def windows(words: list[bytes], n: int, gram: int):
-    """Yields (start, a, b, key) of stretches: 64 and 32 bits of hashes and the sketch key of each window.
+class Windows:
+    """All windows of some texts, one after the other: start (among all words) and row of each."""
+
+    def __init__(self, column: pa.Array, n: int):
+        self.words = [(t or b"").split() for t in texts(column)]
+        lengths = np.array([len(x) for x in self.words], np.int64)
+        self.ends = np.cumsum(lengths)
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for held in self.words for x in held), np.uint64, int(lengths.sum()))
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        self.n = n
+        self.start = np.flatnonzero(of[: max(0, len(of) - n + 1)] == of[n - 1 :])
+        self.row = of[self.start]
+
+    def first(self) -> np.ndarray:
+        return rolled(self.hashes, ROLL[0], self.n)[self.start]
+
+    def second(self) -> np.ndarray:
+        """32 more bits: 96 tell 10^13 windows apart but for a chance of one in a thousand."""
+        return (rolled(mixed(self.hashes), ROLL[1], self.n) >> np.uint64(32))[self.start]
+
+    def keys(self, gram: int) -> np.ndarray:
+        runs = mixed(rolled(self.hashes, ROLL[0], gram), 2)
+        return sliding_min(runs, self.n - gram + 1)[self.start] if len(self.start) else runs[:0]
+
 
-    96 bits tell 10^13 windows apart but for a chance of one in a thousand;
-    the empty half of b costs next to nothing when rows are compressed.
+def cells(keys: np.ndarray, shards: int, width: int) -> np.ndarray:
+    """(DEPTH, keys): a number for each cell of a key, the shard in its upper half."""
+    shard = mixed(keys, 9) % np.uint64(shards) << np.uint64(32)
+    return np.stack([shard | (mixed(keys, 10 + r) % np.uint64(width) + np.uint64(r * width)) for r in range(DEPTH)])
+
+
+def block_sketch(row: np.ndarray, keys: np.ndarray, shards: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that the rows of a block count, ascending, and whether each is counted twice or more.
+
+    A row counts a key once.
     """
-    for start in range(0, len(words) - n + 1, STRETCH):
-        some = words[start : start + STRETCH + n - 1]
-        w = np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(some))
-        yield start, rolled(w, ROLL[0], n), rolled(mixed(w), ROLL[1], n) >> np.uint64(32), sliding_min(mixed(rolled(w, ROLL[0], gram), 2), n - gram + 1)
-
-
-def cells(keys: np.ndarray, width: int) -> list[np.ndarray]:
-    return [(mixed(keys, 10 + r) & np.uint64(width - 1)).astype(np.int64) for r in range(DEPTH)]
-
-
-def repeated_keys(docs: DataFrame, n: int, gram: int, width: int) -> np.ndarray:
-    """The merged sketch as a (DEPTH, width) bit table: whether a cell was counted twice or more."""
-
-    def count(batches):
-        sketch = np.zeros((DEPTH, width), np.uint8)
-        for batch in small(batches):
-            keys = []
-            for text in texts(batch.column(0)):
-                words = (text or b"").split()
-                found = [np.unique(key) for _, _, _, key in windows(words, n, gram)]
-                if found:
-                    keys.append(found[0] if len(found) == 1 else np.unique(np.concatenate(found)))
-            if keys:
-                for row, at in zip(sketch, cells(np.concatenate(keys), width), strict=True):
-                    at, times = np.unique(at, return_counts=True)
-                    row[at] = np.minimum(2, row[at] + times)
-        for s in range(0, DEPTH * width, SLICE):
-            some = sketch.reshape(-1)[s : s + SLICE]
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // SLICE]), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["slice", "cells"])
+    order = np.lexsort((row, keys))
+    k, r = keys[order], row[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    distinct, times = np.unique(k[new], return_counts=True)
+    at, back = np.unique(cells(distinct, shards, width), return_inverse=True)
+    total = np.bincount(back.ravel(), np.tile(times, DEPTH), len(at))
+    return at, total > 1
+
+
+def by_shard(at: np.ndarray):
+    """(shard, from, to) of the runs of one shard in ascending cells."""
+    shard = (at >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(shard)) + 1
+    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
+        if hi > lo:
+            yield int(shard[lo]), lo, hi
+
+
+def merged_cells(parts: list[bytes]) -> list[bytes]:
+    """What a shard answers each block: a bit for each cell sent, one if the sum of all blocks is two or more.
+
+    A part holds 32-bit numbers: a cell times two, and one more if its block
+    has counted it twice or more.
+    """
+    sent = [np.frombuffer(x, "<u4") for x in parts]
+    every = np.concatenate(sent)
+    _, back = np.unique(every >> 1, return_inverse=True)
+    often = (np.bincount(back, 1 + (every & 1)) > 1)[back]
+    ends = np.cumsum([len(x) for x in sent])
+    return [np.packbits(often[e - len(x) : e], bitorder="little").tobytes() for x, e in zip(sent, ends.tolist(), strict=True)]
 
-    def merge(batches):
-        for number, run in groups_of(batches, 0):
-            total = np.zeros(SLICE, np.uint8)
-            for packed in run["cells"]:
-                some = np.frombuffer(zlib.decompress(packed.as_py()), np.uint8)
-                total[: len(some)] = np.minimum(2, total[: len(some)] + some)
-            bits = np.packbits(total == 2, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([int(number)]), pa.array([bits], pa.binary())], names=["slice", "cells"])
-
-    schema = "slice long, cells binary"
-    parts = docs.select("text").mapInArrow(count, schema)
-    merged = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, schema)
-    out = np.zeros(max(SLICE, DEPTH * width) // 8, np.uint8)
-    for number, bits in merged.collect():  # DEPTH << WIDEST bits at most
-        at = number * SLICE // 8
-        out[at : at + SLICE // 8] = np.frombuffer(bits, np.uint8)[: len(out) - at]
-    return out
-
-
-def estimated_repeated(keys: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for r, at in enumerate(cells(keys, width)):
-        at = at + r * width
-        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-def least_of_equals(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, group of each ordered entry, least doc of each group) of equal (a, b)."""
+
+def estimated_repeated(keys: np.ndarray, at: np.ndarray, often: np.ndarray, shards: int, width: int) -> np.ndarray:
+    """Whether all cells of each key are among the often counted ones of the ascending cells ``at``."""
+    return often[np.searchsorted(at, cells(keys, shards, width))].all(0)
+
+
+def bounds_of_equals(a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, group of each ordered entry, smallest least, largest most of each group) of equal (a, b)."""
     order = np.lexsort((b, a))
     new = np.ones(len(a), bool)
     new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     starts = np.flatnonzero(new)
-    return order, np.cumsum(new) - 1, np.minimum.reduceat(doc[order], starts) if len(a) else doc
+    if not len(a):
+        return order, order, least, most
+    return order, np.cumsum(new) - 1, np.minimum.reduceat(least[order], starts), np.maximum.reduceat(most[order], starts)
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFrame:
@@ -142,80 +158,101 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, gram: int = 16) -
     A null or empty text has no words and gives an empty text. Rows of equal
     doc_id never count against each other; a null doc_id comes before all
     others. An empty table gives an empty table. Other columns stay; n_words
-    and n_removed are replaced. Texts of any length are read whole.
+    and n_removed are replaced. Texts of any length are read whole. Rows are
+    dealt by id and text, so that those of one id, or of none, don't meet in
+    one block.
     """
     docs = without(docs, "n_words", "n_removed")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, shards = min(MOST_BLOCKS, size // BLOCK_BYTES + 1), size // SHARD_BYTES + 1
-    width = 1 << min(WIDEST, max(18, (size // 60).bit_length()))
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_keys(docs, window, gram, width))
+    blocks, shards, sketches, width = (size // per + 1 for per in (BLOCK_BYTES, SHARD_BYTES, SKETCH_BYTES, CELL_BYTES))
+    width = min(WIDTH, width)  # of a shard; from one shard on, shards are added
     block = fresh(docs.columns, "block")
-    dealt = docs.withColumn(block, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-
-    def suspects(group: pa.Table) -> list[np.ndarray]:
-        """row, start, a, b, doc of all windows of the block that are estimated repeated."""
-        found = []
-        for row, (doc, text) in enumerate(zip(group["doc_id"].to_pylist(), texts(group["text"]), strict=True)):
-            for start, a, b, key in windows((text or b"").split(), window, gram):
-                keys, back = np.unique(key, return_inverse=True)
-                at = np.flatnonzero(estimated_repeated(keys, bits.value, width)[back])
-                if len(at):
-                    found.append((np.full(len(at), row), at + start, a[at], b[at], np.full(len(at), NO_ID if doc is None else doc)))
-        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int64)
-        return [np.concatenate([f[i] for f in found]) if found else np.zeros(0, kinds[i]) for i in range(5)]
-
-    def send(group: pa.Table) -> pa.Table:
-        _, _, a, b, doc = suspects(group)
-        order, at, least = least_of_equals(a, b, doc)
-        first = np.flatnonzero(np.diff(at, prepend=-1))
+    dealt = docs.withColumn(block, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+
+    def count(group: pa.Table) -> pa.Table:
+        held = Windows(group["text"], window)
+        at, twice = block_sketch(held.row, held.keys(gram), sketches, width)
+        packed = ((at & np.uint64(0xFFFFFFFF)) << np.uint64(1) | twice).astype("<u4")
+        rows = [(s, packed[lo:hi].tobytes()) for s, lo, hi in by_shard(at)]
+        where = pa.array([group[block][0].as_py()] * len(rows), pa.int64())
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "block": where, "cells": pa.array([r[1] for r in rows], pa.binary())})
+
+    def merge(batches):
+        for number, run in groups_of(batches, 0):
+            bits = merged_cells(run["cells"].to_pylist())
+            yield pa.RecordBatch.from_arrays([run["block"].combine_chunks(), pa.array([number] * len(bits), pa.int64()), pa.array(bits, pa.binary())], names=["block", "shard", "bits"])
+
+    counted = dealt.groupBy(block).applyInArrow(count, "shard long, block long, cells binary")
+    sketch = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "block long, shard long, bits binary")
+
+    def send(group: pa.Table, told: pa.Table) -> pa.Table:
+        held = Windows(group["text"], window)
+        keys = held.keys(gram)
+        at, _ = block_sketch(held.row, keys, sketches, width)
+        bits = dict(zip(told["shard"].to_pylist(), told["bits"].to_pylist(), strict=True))
+        often = np.zeros(len(at), bool)
+        for s, lo, hi in by_shard(at):
+            often[lo:hi] = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=hi - lo, bitorder="little")
+        distinct, back = np.unique(keys, return_inverse=True)
+        chosen = np.flatnonzero(estimated_repeated(distinct, at, often, sketches, width)[back]) if len(keys) else back
+        a, b = held.first()[chosen], held.second()[chosen]
+        doc = _ids(group["doc_id"])[held.row[chosen]]
+        order, number, least, most = bounds_of_equals(a, b, doc, doc)
+        first = np.flatnonzero(np.diff(number, prepend=-1))
         a, b = a[order][first], b[order][first]
-        where = np.full(len(a), group[block][0].as_py(), np.int64)
-        return pa.table({"shard": (a % np.uint64(shards)).astype(np.int64), "a": a.view(np.int64), "b": b.view(np.int64), "block": where, "first": least})
+        where = np.full(len(a), group[block][0].as_py() if group.num_rows else 0, np.int64)
+        return pa.table({"shard": (a % np.uint64(shards)).astype(np.int64), "a": a.view(np.int64), "b": b.view(np.int64), "block": where, "least": least, "most": most})
 
-    sent = dealt.groupBy(block).applyInArrow(send, "shard long, a long, b long, block long, first long")
+    kind = "shard long, a long, b long, block long, least long, most long"
+    sent = dealt.groupBy(block).cogroup(sketch.groupBy("block")).applyInArrow(send, kind)
 
     def answers(batches):
         for _, run in groups_of(batches, 0):
-            a, b, where, doc = (run[c].to_numpy() for c in ("a", "b", "block", "first"))
-            order, at, least = least_of_equals(a, b, doc)
-            later = least[at] < doc[order]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (where[order][later], a[order][later], b[order][later], least[at][later])], names=["block", "a", "b", "first"])
+            a, b, where, least, most = (run[c].to_numpy() for c in ("a", "b", "block", "least", "most"))
+            order, at, first, _ = bounds_of_equals(a, b, least, most)
+            later = first[at] < most[order]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (where[order][later], a[order][later], b[order][later], first[at][later])], names=["block", "a", "b", "first"])
 
     found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(answers, "block long, a long, b long, first long")
     names, kinds = docs.columns, docs.schema
 
     def kept(group: pa.Table, hits: pa.Table) -> pa.Table:
-        row, start, a, b, doc = suspects(group)
-        ha, hb, first = hits["a"].to_numpy().view(np.uint64), hits["b"].to_numpy().view(np.uint64), hits["first"].to_numpy()
-        order, at, least = least_of_equals(np.concatenate([a, ha]), np.concatenate([b, hb]), np.concatenate([doc, first]))
-        mine = order < len(a)
-        own = order[mine]
-        again = own[least[at[mine]] < doc[own]]
-        again = again[np.lexsort((start[again], row[again]))]
-        row, start = row[again], start[again]
-        edges = np.searchsorted(row, np.arange(group.num_rows + 1))
-        out, n_words, n_removed = [], [], []
-        for i, text in enumerate(texts(group["text"])):
-            words = (text or b"").split()
-            here = start[edges[i] : edges[i + 1]]
-            gone = 0
-            if len(here):
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, here, 1)
-                np.add.at(change, here + window, -1)
-                stays = np.cumsum(change[:-1]) == 0
-                gone = int(len(words) - stays.sum())
-                words = [words[k] for k in np.flatnonzero(stays).tolist()]
-            n_words.append(len(words) + gone)
-            n_removed.append(gone)
-            out.append(b" ".join(words))
+        if hits.num_rows:
+            held = Windows(group["text"], window)
+            ha, hb, first = (hits[c].to_numpy() for c in ("a", "b", "first"))
+            known, ids = held.first(), _ids(group["doc_id"])
+            near = np.flatnonzero(np.isin(known, ha.view(np.uint64)))
+            a, b, doc = known[near], held.second()[near], ids[held.row[near]]
+            # Hits come first in each group of equals: a hit has the least id of all, the documents' own are at least that.
+            order, at, least, _ = bounds_of_equals(np.concatenate([a, ha.view(np.uint64)]), np.concatenate([b, hb.view(np.uint64)]), np.concatenate([doc, first]), np.concatenate([doc, first]))
+            mine = order < len(a)
+            own = order[mine]
+            again = held.start[near[own[least[at[mine]] < doc[own]]]]
+            change = np.zeros(len(held.hashes) + 1, np.int64)
+            np.add.at(change, again, 1)
+            np.add.at(change, again + window, -1)
+            stays, words, ends = np.cumsum(change[:-1]) == 0, held.words, held.ends
+        else:
+            words = [(t or b"").split() for t in texts(group["text"])]
+            ends = np.cumsum([len(x) for x in words], dtype=np.int64)
+            stays = None
+        out, n_removed = [], []
+        for mine, end in zip(words, ends.tolist(), strict=True):
+            here = None if stays is None else stays[end - len(mine) : end]
+            left = mine if here is None or here.all() else [mine[k] for k in np.flatnonzero(here).tolist()]
+            n_removed.append(len(mine) - len(left))
+            out.append(b" ".join(left))
         columns = {c: group[c] for c in names} | {"text": pa.array(out, pa.binary()).cast(pa.string())}
-        return pa.table(columns | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
+        return pa.table(columns | {"n_words": pa.array([len(x) for x in words], pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
 
     schema = type(kinds)(list(kinds)).add("n_words", "long").add("n_removed", "long")
     return dealt.groupBy(block).cogroup(found.groupBy("block")).applyInArrow(kept, schema)
 
 
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array([NO_ID if x is None else x for x in column.to_pylist()], np.int64)
+
+
 def op9_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))

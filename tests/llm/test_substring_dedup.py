@@ -70,3 +70,41 @@ def test_query_equals_sql(spark, sf):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf{sf}/documents.parquet'")
     want = sorted(duckdb.sql(OP9_SQL).fetchall())
     assert sorted(map(tuple, op9_count_min(spark, f"/root/testdata/sf{sf}").collect())) == want
+
+
+def test_sketch_keeps_its_filter_at_any_size():
+    """Of keys that never repeat few pass, however many there are; of repeated ones none is lost."""
+    from hopforge.llm import substring_dedup as S
+
+    rnd = np.random.default_rng(4)
+    for shards in (1, 7, 40):
+        width = 4000
+        # As many keys a cell as prose has: one in 140 bytes, a cell in CELL_BYTES.
+        n = int(shards * width * S.CELL_BYTES / 140)
+        single, double = rnd.integers(0, 1 << 63, (2, n)).astype(np.uint64)
+        double = double[: n // 20]
+        blocks = [np.concatenate([x, double]) for x in np.array_split(single, 9)]
+        sketches = [S.block_sketch(np.zeros(len(b), np.int64), b, shards, width) for b in blocks]
+        often = [np.zeros(len(at), bool) for at, _ in sketches]
+        for s in range(shards):
+            mine = [[(lo, hi) for x, lo, hi in S.by_shard(at) if x == s] for at, _ in sketches]
+            parts = [(i, *m[0]) for i, m in enumerate(mine) if m]
+            packed = [((sketches[i][0][lo:hi] & np.uint64(0xFFFFFFFF)) << np.uint64(1) | sketches[i][1][lo:hi]).astype("<u4").tobytes() for i, lo, hi in parts]
+            for (i, lo, hi), bits in zip(parts, S.merged_cells(packed), strict=True):
+                often[i][lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo, bitorder="little")
+        passed = [S.estimated_repeated(b, at, o, shards, width) for b, (at, _), o in zip(blocks, sketches, often, strict=True)]
+        assert all(p[len(p) - len(double) :].all() for p in passed)
+        alone = np.concatenate([p[: len(p) - len(double)] for p in passed])
+        assert alone.mean() < 0.01
+
+
+def test_small_shards_and_blocks_and_one_id_for_all(spark, monkeypatch):
+    from hopforge.llm import substring_dedup as S
+
+    for name, value in (("BLOCK_BYTES", 300), ("SKETCH_BYTES", 900), ("SHARD_BYTES", 500), ("WIDTH", 64)):
+        monkeypatch.setattr(S, name, value)
+    rnd = random.Random(6)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(4)]
+    docs = [(rnd.choice([d, None, 3]), rnd.choice(passages) + f" u{d} " + rnd.choice(passages)) for d in range(50)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(remove_repeated_windows(frame, window=10, gram=4)) == brute(docs, 10)
