@@ -1,25 +1,29 @@
 """Line dedup by a sharded minimal perfect hash.
 
-Documents are dealt into blocks. A block hashes the keys of its lines and
-sends each distinct hash once, so a line that every document holds costs one
-row a block. A shard owns a part of the hash space: it builds a minimal
-perfect hash over its distinct line hashes, fills fingerprint, count and
-last-document arrays by it, and answers the blocks from these arrays. Blocks
-then drop their lines; lines and documents are never joined with each other.
+Documents are dealt into blocks, and blocks hash the keys of their lines. How
+many documents hold each hash is an aggregate. A shard owns a part of the hash
+space: over the distinct hashes in it that enough documents hold it builds a
+minimal perfect hash and fills fingerprint, count and last-document arrays by
+it. Then every block asks the shards for its distinct hashes, packed, and is
+answered from the arrays: most of its lines are strangers there, which the
+fingerprints refuse. Blocks then drop their lines; lines and documents are
+never joined with each other.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.llm.support import fresh, groups_of, mixed, table, texts, without
+from hopforge.llm.support import fresh, mixed, table, texts, without
 
-#: Text bytes per block and per shard; the number of blocks has a ceiling, past which blocks grow.
-BLOCK_BYTES, SHARD_BYTES, MOST_BLOCKS = 2 << 20, 16 << 20, 1 << 20
+#: Text bytes per block and per shard, and blocks that one task answers for a shard.
+BLOCK_BYTES, SHARD_BYTES, BLOCKS_PER_TURN = 2 << 20, 16 << 20, 1 << 14
 #: Stands for a null document id, which counts as one document before all others.
 NO_ID = -(1 << 63)
 
@@ -67,31 +71,43 @@ class PerfectHash:
 
 
 class LineIndex:
-    """Compact arrays over distinct line hashes: fingerprint, document count, last document."""
+    """Compact arrays over distinct line hashes, in the order of a perfect hash: fingerprint, count, last document."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, count: np.ndarray, last: np.ndarray):
-        """One entry a (hash, block): how many documents of the block hold it, and the last of them."""
-        order = np.lexsort((b, a))
-        new = np.ones(len(a), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        keys = order[new]
-        self.hash = PerfectHash(a[keys], b[keys])
-        self.fingerprint = np.zeros(self.hash.n, np.uint32)
-        self.fingerprint[self.hash.index(a[keys], b[keys])] = b[keys].astype(np.uint32)
+        self.hash = PerfectHash(a, b)
         at = self.hash.index(a, b)
-        self.count = np.zeros(self.hash.n, np.int64)
-        np.add.at(self.count, at, count)
-        self.last = np.full(self.hash.n, NO_ID, np.int64)
-        np.maximum.at(self.last, at, last)
+        self.fingerprint, self.count, self.last = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint32), np.zeros(len(a), np.int64)
+        self.fingerprint[at], self.count[at], self.last[at] = b, np.minimum(count, (1 << 32) - 1), last
 
     def probe(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Document count and last document of each hash; count 0 for one that isn't here."""
+        """Document count and last document of each hash; count 0 for a stranger.
+
+        A stranger's index, if it has one, is some other line's, whose
+        fingerprint refuses it but for a chance of 2^-64.
+        """
         if not self.hash.n:
             return np.zeros(len(a), np.int64), np.full(len(a), NO_ID, np.int64)
         at = self.hash.index(a, b)
-        known = (at >= 0) & (self.fingerprint[at] == b.astype(np.uint32))
+        known = (at >= 0) & (self.fingerprint[at] == b)
         return np.where(known, self.count[at], 0), np.where(known, self.last[at], NO_ID)
 
+    def packed(self) -> bytes:
+        levels = [(width, np.packbits(once).tobytes()) for width, once, _ in self.hash.levels]
+        return pickle.dumps((self.hash.n, levels, self.hash.left, self.fingerprint.tobytes(), self.count.tobytes(), self.last.tobytes()))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> LineIndex:
+        out, of = cls.__new__(cls), PerfectHash.__new__(PerfectHash)
+        of.n, levels, of.left, *arrays = pickle.loads(data)
+        of.levels, base = [], 0
+        for width, bits in levels:
+            once = np.unpackbits(np.frombuffer(bits, np.uint8), count=width).astype(bool)
+            of.levels.append((width, once, np.cumsum(once, dtype=np.int64) - 1 + base))
+            base += int(once.sum())
+        out.hash = of
+        out.fingerprint, out.count, out.last = (np.frombuffer(x, kind) for x, kind in zip(arrays, (np.uint64, np.uint32, np.int64), strict=True))
+        return out
+
 
 def line_key(line: bytes, least: int) -> bytes | None:
     """A line's key, or None if it has fewer than ``least`` code points."""
@@ -121,45 +137,78 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20)
     """
     docs = without(docs, "n_lines", "n_dropped")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, shards = min(MOST_BLOCKS, size // BLOCK_BYTES + 1), size // SHARD_BYTES + 1
+    blocks, shards = size // BLOCK_BYTES + 1, size // SHARD_BYTES + 1
+    # A line that every block holds is asked for once a block, so a shard's arrays serve several tasks.
+    turns = blocks // BLOCKS_PER_TURN + 1
     block = fresh(docs.columns, "block")
-    dealt = docs.withColumn(block, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    dealt = docs.withColumn(block, F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)))
 
-    def hashes(group: pa.Table) -> pa.Table:
+    def held_keys(group: pa.Table) -> dict[bytes, list[int]]:
+        """Each key of the block: how many documents with an id hold it, whether one without does, and the last of them."""
         held: dict[bytes, list[int]] = {}
-        rows = sorted(zip(_ids(group["doc_id"]), texts(group["text"]), strict=True), key=lambda r: r[0])
-        for doc, text in rows:
+        for doc, text in sorted(zip(_ids(group["doc_id"]), texts(group["text"]), strict=True), key=lambda r: r[0]):
             for line in (text or b"").split(b"\n"):
                 if len(line) >= min_chars and (key := line_key(line, min_chars)):
                     if (seen := held.get(key)) is None:
-                        held[key] = [1, doc]
-                    elif seen[1] != doc:
+                        seen = held[key] = [0, 0, NO_ID]
+                    if doc == NO_ID:
+                        seen[1] = 1
+                    elif seen[2] != doc:
                         seen[0] += 1
-                        seen[1] = doc
-        both = np.frombuffer(b"".join(held), "<i8").reshape(-1, 2)
-        n, last = (np.array([v[i] for v in held.values()], np.int64) for i in (0, 1))
-        shard = (both[:, 0].view("<u8") % np.uint64(shards)).astype(np.int64)
-        where = np.full(len(n), group[block][0].as_py(), np.int64)
-        return pa.table({"shard": shard, "a": both[:, 0], "b": both[:, 1], "block": where, "n": n, "last": last})
-
-    sent = dealt.groupBy(block).applyInArrow(hashes, "shard long, a long, b long, block long, n long, last long")
+                        seen[2] = doc
+        return held
 
-    def answers(batches):
-        for _, run in groups_of(batches, 0):
-            a, b, where, n, last = (run[c].to_numpy() for c in ("a", "b", "block", "n", "last"))
-            a, b = a.view(np.uint64), b.view(np.uint64)
-            index = LineIndex(a, b, n, last)
-            count, final = index.probe(a, b)
-            hit = (count >= min_docs) & ~((n == 1) & (last == final))
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (where, a.view(np.int64), b.view(np.int64), final)], names=["block", "a", "b", "last"])
-
-    found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(answers, "block long, a long, b long, last long")
+    def count(group: pa.Table) -> pa.Table:
+        held = held_keys(group)
+        both = np.frombuffer(b"".join(held), "<i8").reshape(-1, 2)
+        columns = {name: np.array([v[i] for v in held.values()], np.int64) for i, name in enumerate(("n", "none", "last"))}
+        return pa.table({"a": both[:, 0], "b": both[:, 1]} | columns)
+
+    # One row a line and task before the shuffle, however many blocks hold it.
+    counts = dealt.groupBy(block).applyInArrow(count, "a long, b long, n long, none long, last long").groupBy("a", "b").agg((F.sum("n") + F.max("none")).alias("n"), F.max("last").alias("last"))
+    shard = F.pmod(F.col("a"), F.lit(shards))
+
+    def build(group: pa.Table) -> pa.Table:
+        a, b, n, last = (group[c].to_numpy() for c in ("a", "b", "n", "last"))
+        index = LineIndex(a.view(np.uint64), b.view(np.uint64), n, last)
+        return pa.table({"shard": group["shard"].slice(0, 1), "arrays": pa.array([index.packed()], pa.binary())})
+
+    indexes = counts.where(F.col("n") >= min_docs).withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard long, arrays binary")
+    indexes = indexes.select("shard", "arrays", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"))
+
+    def ask(group: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join({key for text in texts(group["text"]) for line in (text or b"").split(b"\n") if len(line) >= min_chars and (key := line_key(line, min_chars))}), "<i8").reshape(-1, 2)
+        of = np.mod(keys[:, 0], shards)
+        order = np.argsort(of, kind="stable")
+        asked, first = np.unique(of[order], return_index=True)
+        ends = [*first[1:].tolist(), len(of)][: len(first)]
+        number = group[block][0].as_py() if group.num_rows else 0
+        rows = [keys[order[lo:hi]].tobytes() for lo, hi in zip(first.tolist(), ends, strict=True)]
+        return pa.table({"shard": pa.array(asked, pa.int64()), "turn": pa.array([number % turns] * len(rows), pa.int64()), "block": pa.array([number] * len(rows), pa.int64()), "keys": pa.array(rows, pa.binary())})
+
+    asked = dealt.groupBy(block).applyInArrow(ask, "shard long, turn long, block long, keys binary")
+
+    def probe(questions: pa.Table, arrays: pa.Table) -> pa.Table:
+        blocks_, out = [], []
+        if arrays.num_rows:
+            index = LineIndex.unpacked(arrays["arrays"][0].as_py())
+            for number, keys in zip(questions["block"].to_pylist(), questions["keys"], strict=True):
+                both = np.frombuffer(keys.as_buffer(), "<i8").reshape(-1, 2)
+                n, last = index.probe(both[:, 0].view(np.uint64), both[:, 1].view(np.uint64))
+                if len(at := np.flatnonzero(n)):
+                    blocks_.append(number)
+                    out.append(np.column_stack([both[at], last[at]]).tobytes())
+        return pa.table({"block": pa.array(blocks_, pa.int64()), "hits": pa.array(out, pa.binary())})
+
+    found = asked.groupBy("shard", "turn").cogroup(indexes.groupBy("shard", "turn")).applyInArrow(probe, "block long, hits binary")
 
     names, kinds = docs.columns, docs.schema
 
     def kept(group: pa.Table, hits: pa.Table) -> pa.Table:
-        both = np.stack([hits["a"].to_numpy(), hits["b"].to_numpy()], 1).astype("<i8").tobytes()
-        stays = {both[16 * i : 16 * i + 16]: last for i, last in enumerate(hits["last"].to_pylist())}
+        stays = {}
+        for packed in hits["hits"].to_pylist():
+            last = np.frombuffer(packed, "<i8")[2::3].tolist()
+            stays.update((packed[24 * i : 24 * i + 16], x) for i, x in enumerate(last))
         out, lines, dropped = [], [], []
         for doc, text in zip(_ids(group["doc_id"]), texts(group["text"]), strict=True):
             every = (text or b"").split(b"\n")

@@ -39,12 +39,46 @@ def test_perfect_hash_is_minimal():
     assert sorted(PerfectHash(a, b).index(a, b).tolist()) == list(range(50))
 
 
-def test_index_counts_and_refuses_strangers():
-    a, b = np.array([1, 1, 2], np.uint64), np.array([5, 5, 6], np.uint64)
-    index = LineIndex(a, b, np.array([2, 1, 1]), np.array([7, 9, 3]))
-    count, last = index.probe(np.array([1, 2, 8], np.uint64), np.array([5, 6, 99], np.uint64))
-    assert count.tolist() == [3, 1, 0] and last[:2].tolist() == [9, 3]
-    assert LineIndex(a[:0], b[:0], np.zeros(0, int), np.zeros(0, int)).probe(a, b)[0].tolist() == [0, 0, 0]
+@pytest.mark.parametrize("stored", [False, True])
+def test_index_counts_and_refuses_strangers(stored):
+    keep = (lambda x: LineIndex.unpacked(x.packed())) if stored else (lambda x: x)
+    rnd = np.random.default_rng(3)
+    a, b = rnd.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
+    count, last = np.arange(5000) + 3, np.arange(5000) * 7
+    index = keep(LineIndex(a, b, count, last))
+    got = index.probe(a, b)
+    assert got[0].tolist() == count.tolist() and got[1].tolist() == last.tolist()
+    # A stranger that shares the first half of its hash, or none of it, may fall on another line's place.
+    assert not index.probe(a, b + np.uint64(1))[0].any()
+    c, d = rnd.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
+    assert (index.hash.index(c, d) >= 0).sum() > 3000 and not index.probe(c, d)[0].any()
+    none = keep(LineIndex(a[:0], b[:0], np.zeros(0, int), np.zeros(0, int)))
+    assert none.probe(a[:3], b[:3])[0].tolist() == [0, 0, 0]
+
+
+def test_documents_ask_the_arrays(spark, monkeypatch):
+    """Without the fingerprints' refusal strangers take other lines' counts: the query's answers come from the arrays."""
+    rows = [(i, f"a line that all of them hold\nand one of its own, number {i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.n_dropped for r in drop_repeated_lines(frame).collect()) == [0] + [1] * 39
+
+    def careless(self, a, b):
+        at = self.hash.index(a, b)
+        return np.where(at >= 0, self.count[at], 0), np.where(at >= 0, self.last[at], -1)
+
+    monkeypatch.setattr(LineIndex, "probe", careless)
+    assert sum(r.n_dropped for r in drop_repeated_lines(frame).collect()) > 39
+
+
+def test_small_shards_blocks_and_turns(spark, monkeypatch):
+    from hopforge.llm import line_dedup as L
+
+    for name, value in (("BLOCK_BYTES", 200), ("SHARD_BYTES", 700), ("BLOCKS_PER_TURN", 4)):
+        monkeypatch.setattr(L, name, value)
+    rnd = random.Random(8)
+    pool = [f"A line that is long enough {i}" for i in range(30)]
+    docs = [(rnd.choice([i, i, None, 4]), "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 9)))) for i in range(80)]
+    assert got(drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
 
 def test_against_brute_force(spark):
