@@ -14,6 +14,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,35 +236,55 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
     and null or empty texts match nothing. Repeated rows match each; null ids
     stay null. Empty tables give an empty table; extra columns are left out.
     """
-    spark = docs.sparkSession
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = chars // BENCHMARK_CHARS + 1
+    schema = "doc_id long, item_id long, start long, end long, edits long"
     found = None
-    for b in range(blocks):
-        mine = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select("item_id", "text")
-        items = spark.sparkContext.broadcast([(i, t) for i, t in mine.collect() if t])  # BENCHMARK_CHARS or so
+    for items in _blocks(benchmark):
 
         def run(batches, items=items):
-            index = BenchmarkIndex([(NO_ITEM if i is None else i, t) for i, t in items.value], q, rate, SEGMENT)
+            index = _index(items.value, q, rate)
             for batch in small(batches):
                 ids = batch.column(0)
-                out: list[tuple] = []
-                if index.segments:
-                    out = list(index.find([normalised(t) for t in batch.column(1).to_pylist()]))
+                out = list(index.find([normalised(t) for t in batch.column(1).to_pylist()])) if index.segments else []
                 place, item, start, end, edits = zip(*out, strict=True) if out else ([],) * 5
                 item = [None if i == NO_ITEM else i for i in item]
                 taken = ids.take(pa.array(place, pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken, *[pa.array(x, pa.int64()) for x in (item, start, end, edits)]], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    gone = find_leaks(docs, benchmark, **settings).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+def _blocks(benchmark: DataFrame) -> list[Broadcast]:
+    """(item_id, text) rows of the benchmark, in broadcasts of BENCHMARK_CHARS characters or so."""
+    spark = benchmark.sparkSession
+    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = chars // BENCHMARK_CHARS + 1
+    block = F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))
+    return [spark.sparkContext.broadcast([(i, t) for i, t in benchmark.where(block == b).select("item_id", "text").collect() if t]) for b in range(blocks)]
+
+
+def _index(items: list[tuple[int | None, str]], q: int, rate: float) -> BenchmarkIndex:
+    return BenchmarkIndex([(NO_ITEM if i is None else i, t) for i, t in items], q, rate, SEGMENT)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item, as find_leaks finds them.
+
+    Each row is judged where it is read, by its own text: no row goes or
+    stays for another one's doc_id, and nothing is joined or shuffled. Null
+    and empty texts stay. docs keeps its columns, whatever they are called.
+    """
+    for items in _blocks(benchmark):
+
+        def run(batches, items=items):
+            index = _index(items.value, q, rate)
+            for batch in small(batches):
+                held = {doc for doc, *_ in index.find([normalised(t) for t in batch["text"].to_pylist()])} if index.segments else ()
+                yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in held], pa.int64()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op8_q_gram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,26 @@ def test_rows(spark):
     assert [tuple(r)[:2] for r in find_leaks(own, items).collect()] == [(20, None)]
 
 
+def test_rows_are_dropped_by_text_and_not_by_id(spark):
+    text = "What is the capital of the country, that lies to the north? It is not known."
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = [(None, text, "a"), (None, "clean", "b"), (None, None, "c"), (7, "x " + text, "d"), (7, "clean too", "e"), (7, "clean too", "e")]
+    out = drop_leaks(spark.createDataFrame(docs, "doc_id long, text string, Item_Id string"), items)
+    assert out.columns == ["doc_id", "text", "Item_Id"] and sorted(r.Item_Id for r in out.collect()) == ["b", "c", "e", "e"]
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    from hopforge.llm import decontamination as D
+
+    monkeypatch.setattr(D, "BENCHMARK_CHARS", 60)
+    rnd = random.Random(1)
+    texts = [" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(6)) for _ in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so {t} it is") for i, t in enumerate(texts)] + [(50, "clean")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()) == [(i, i) for i in range(12)]
+    assert [r.doc_id for r in drop_leaks(docs, items).collect()] == [50]
+
+
 def test_query_against_exact_search(spark):
     docs = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     items = [(i, normalised(t)) for i, t in duckdb.sql("SELECT item_id, text FROM '/root/testdata/sf0.01/benchmark.parquet'").fetchall()]

@@ -57,6 +57,18 @@ def test_no_leak_is_left(spark, stages):
     assert not any(b in t for b in items for t in left)
 
 
+def test_no_row_goes_for_another_ones_id(spark):
+    """Several rows without an id and several texts of one id, through the stages that drop rows."""
+    rnd = random.Random(11)
+    text = lambda k: " ".join(f"{rnd.choice('abcdefgh')}{k}x{i}" for i in range(120))
+    a, b, c, d = (text(k) for k in range(4))
+    docs = [(None, a), (None, b), (None, c), (7, a + " more"), (8, b + " more"), (8, d), (9, d), (9, "short")]
+    frame = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES[:-1]:
+        frame = P.stored(stage(spark, frame, SF))[0]
+    assert sorted(((r.doc_id, r.text) for r in frame.collect()), key=repr) == sorted([(None, c), (7, a + " more"), (8, b + " more"), (8, d)], key=repr)
+
+
 def test_packing_packs_all(stages):
     before, after = stages[4]
     assert {r.doc_id for r in after.select("doc_id").distinct().collect()} == {r.doc_id for r in before.collect()}
