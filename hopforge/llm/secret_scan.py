@@ -2,17 +2,22 @@
 
 Everything here is a column expression; no row leaves the JVM. Three base
 kinds are found by pattern. A fourth kind, ``random``, comes from a battery of
-tests on long tokens: the token's encoding is inferred, its symbols are tested
-for uniformity (chi-squared), for runs around the middle of the alphabet and
-for serial correlation. A token passes the battery if none of the tests
-rejects randomness. Each such token also has a p-value against the natural
-hypothesis (symbols drawn with the letter frequencies of prose), and a
-false-discovery control over the whole input, by length class, decides which
-tokens are reported.
+tests on long tokens. The token's encoding is inferred, and under it come
+three p-values of randomness: chi-squared uniformity over the alphabet, runs
+around its middle, and serial correlation. A fourth p-value is that of the
+natural hypothesis: equal pairs of symbols as few as these, if symbols were
+drawn with the frequencies of natural tokens of that encoding.
+
+Two false-discovery controls over the whole input, both weighted by length
+class, decide. The first takes the three tests' combined p-value and rejects
+tokens that aren't random. The second takes the natural p-value and rejects
+that hypothesis. What the second tells and the first leaves is reported.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +31,24 @@ BASE = [
 ]
 #: Candidate tokens of the battery.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: Encodings: name, pattern of the whole token, alphabet, sums of squared and cubed symbol frequencies in natural tokens.
+DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Encodings in the order they are tried: name, pattern of the whole token, alphabet, sums of squared and of cubed
+#: symbol frequencies in natural tokens (of prose's letters, or of numbers that people choose).
 ENCODINGS = [
-    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.1, 0.01),
-    ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.0667, 0.0055),
-    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0667, 0.0055),
+    ("decimal", "^[0-9]+$", DIGITS, 0.15, 0.03),
+    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + LOWER[:6], 0.1, 0.012),
+    ("uuid", "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", DIGITS + LOWER[:6], 0.1, 0.012),
+    ("lower", "^[a-z]+$", LOWER, 0.0667, 0.0055),
+    ("base32", "^(?:[A-Z2-7]+|[a-z2-7]+)$", LOWER + "234567", 0.0667, 0.0055),
+    ("base36", "^(?:[A-Z0-9]+|[a-z0-9]+)$", LOWER + DIGITS, 0.0667, 0.0055),
+    ("base64", "", UPPER + LOWER + DIGITS + "+/", 0.0667, 0.0055),
 ]
 #: Lower ends of the length classes; p-value bins per factor of ten and their number.
 CLASSES, PER_DECADE, BINS = (20, 24, 32, 48, 64), 20, 400
 
+#: Coefficients of the fit of erfc, highest power first (Numerical Recipes, "erfcc"). Fixed values.
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+
 SPAN = "array<struct<at:int,upto:int,size:int,token:string>>"
 
 
@@ -53,49 +67,78 @@ def _spans(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
-def _phi(z: Column) -> Column:
-    """The normal distribution function, by its usual logistic approximation."""
-    return 1 / (1 + F.exp(-(0.07056 * z * z * z + 1.5976 * z)))
-
-
-def _battery(token: Column) -> Column:
-    """Struct of the encoding's name, the battery's p-value and the p-value of the natural hypothesis."""
-
-    def tests(name: str, alphabet: str, s2: float, s3: float) -> Column:
-        k = len(alphabet)
-        plain = F.lower(token) if name == "hex" else F.translate(token, "-_", "+/")
-        chars = F.split(plain, "")
-        values = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1)
-        n = F.length(token).cast("double")
-        squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(plain, c, F.lit(""))), F.lit(2)))
-        both = F.aggregate(
-            values,
-            F.struct(F.lit(None).cast("int").alias("prev"), F.lit(0.0).alias("turns"), F.lit(0.0).alias("prod")),
-            lambda a, v: F.struct(
-                v.alias("prev"),
-                (a["turns"] + F.when(a["prev"].isNotNull() & ((v >= k // 2) != (a["prev"] >= k // 2)), 1.0).otherwise(0.0)).alias("turns"),
-                (a["prod"] + F.coalesce((v - (k - 1) / 2) * (a["prev"] - (k - 1) / 2), F.lit(0.0))).alias("prod"),
-            ),
-        )
-        return F.struct(F.lit(name).alias("name"), n.alias("n"), squares.alias("squares"), both["turns"].alias("turns"), both["prod"].alias("prod"), F.lit(float(k)).alias("k"), F.lit(s2).alias("s2"), F.lit(s3).alias("s3"))
+def _tail(z: Column) -> Column:
+    """The upper tail of the normal law: half of erfc(z / sqrt 2), by Chebyshev fitting, right to 2e-7 of itself however far out."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    poly = F.lit(0.0)
+    for c in ERFC:
+        poly = poly * t + c
+    half = t * F.exp(poly - x * x) / 2
+    return F.when(z >= 0, half).otherwise(1 - half)
+
+
+def _chi_tail(x: Column, k: Column) -> Column:
+    """The upper tail of the chi-squared law with k - 1 degrees of freedom, k even: a finite series.
+
+    Past 1400 it is below anything that is told apart here.
+    """
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1400.0), x))
+    root = F.sqrt(x)
+    start = F.struct(root.alias("term"), F.lit(0.0).alias("sum"))
+    # Terms x^(r - 1/2) / (1 * 3 * ... * (2r - 1)), r from 1 to (k - 2) / 2.
+    step = lambda a, r: F.struct((a["term"] * x / (2 * r + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), ((k - 2) / 2).cast("int")), start, step, lambda a: a["sum"])
+    return 2 * _tail(root) + 2 * F.exp(-x / 2) / math.sqrt(2 * math.pi) * series
+
+
+def _gamma_below(x: Column, mean: Column, variance: Column) -> Column:
+    """The lower tail of the gamma law of this mean and variance, by the cube-root transform."""
+    ninth = variance / (9 * mean * mean)
+    return _tail(-(F.pow(x / mean, F.lit(1 / 3)) - (1 - ninth)) / F.sqrt(ninth))
 
+
+def _encoding(token: Column) -> Column:
+    """Struct of the alphabet, its size, the natural frequencies' sums and the token in that alphabet's symbols."""
     chosen = None
     for name, whole, alphabet, s2, s3 in ENCODINGS:
-        found = tests(name, alphabet, s2, s3)
-        chosen = F.when(token.rlike(whole), found) if chosen is None else (chosen.when(token.rlike(whole), found) if whole else chosen.otherwise(found))
+        plain = F.translate(token, "-_", "+/") if name == "base64" else F.lower(F.replace(token, F.lit("-"), F.lit("")))
+        found = F.struct(F.lit(alphabet).alias("alphabet"), F.lit(float(len(alphabet))).alias("k"), F.lit(s2).alias("s2"), F.lit(s3).alias("s3"), plain.alias("plain"))
+        if chosen is None:
+            chosen = F.when(token.rlike(whole), found)
+        else:
+            chosen = chosen.when(token.rlike(whole), found) if whole else chosen.otherwise(found)
     return chosen
 
 
+def _statistics(e: Column) -> Column:
+    """Struct of length, equal pairs of symbols, turns across the alphabet's middle, products of neighbours, and what the tests need of the encoding."""
+    n, k = F.length(e["plain"]).cast("double"), e["k"]
+    chars = F.split(e["plain"], "")
+    pairs = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + (n - F.length(F.replace(e["plain"], c, F.lit("")))) * (n - F.length(F.replace(e["plain"], c, F.lit(""))) - 1) / 2)
+    values = F.transform(chars, lambda c: F.instr(e["alphabet"], c) - 1)
+    both = F.aggregate(
+        values,
+        F.struct(F.lit(None).cast("int").alias("prev"), F.lit(0.0).alias("turns"), F.lit(0.0).alias("prod")),
+        lambda a, v: F.struct(
+            v.alias("prev"),
+            (a["turns"] + F.when(a["prev"].isNotNull() & ((v >= k / 2) != (a["prev"] >= k / 2)), 1.0).otherwise(0.0)).alias("turns"),
+            (a["prod"] + F.coalesce((v - (k - 1) / 2) * (a["prev"] - (k - 1) / 2), F.lit(0.0))).alias("prod"),
+        ),
+    )
+    return F.struct(n.alias("n"), pairs.alias("pairs"), both["turns"].alias("turns"), both["prod"].alias("prod"), k.alias("k"), e["s2"].alias("s2"), e["s3"].alias("s3"))
+
+
 def _p_values(x: Column) -> Column:
+    """Struct of ``battery``, the three randomness tests' smallest p-value times three, and ``natural``."""
     n, k, s2, s3 = x["n"], x["k"], x["s2"], x["s3"]
-    chi = k / n * x["squares"] - n
-    uniform = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    runs = (x["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    serial = x["prod"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    battery = F.least(1 - _phi(uniform), 2 * (1 - _phi(F.abs(runs))), 2 * (1 - _phi(F.abs(serial))))
-    mean = k * (1 + (n - 1) * s2) - n
-    spread = k / n * F.sqrt(2 * n * (n - 1) * (s2 - s2 * s2) + 4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2))
-    return F.struct(F.least(F.lit(1.0), 3 * battery).alias("battery"), F.greatest(F.lit(1e-19), _phi((chi - mean) / spread)).alias("natural"))
+    uniform = _chi_tail(k * (2 * x["pairs"] + n) / n - n, k)
+    runs = 2 * _tail(F.greatest(F.lit(0.0), F.abs(x["turns"] - (n - 1) / 2) - 0.5) / F.sqrt((n - 1) / 4))
+    serial = 2 * _tail(F.abs(x["prod"]) / ((k * k - 1) / 12 * F.sqrt(n - 1)))
+    mean = n * (n - 1) / 2 * s2
+    natural = _gamma_below(x["pairs"] + 0.5, mean, mean * (1 - s2) + n * (n - 1) * (n - 2) * (s3 - s2 * s2))
+    least = F.lit(10.0 ** (-BINS / PER_DECADE))
+    return F.struct(F.greatest(least, F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))).alias("battery"), F.greatest(least, F.least(F.lit(1.0), natural)).alias("natural"))
 
 
 def _bin(p: Column) -> Column:
@@ -111,7 +154,7 @@ def _class(n: Column) -> Column:
 
 
 def discovery_bins(counts: list[tuple[int, int, int]], level: float) -> dict[int, int]:
-    """The least bin that each length class may report: the weighted step-up rule on binned p-values.
+    """The least bin of each length class whose hypothesis is rejected: the weighted step-up rule on binned p-values.
 
     counts: (class, bin, tokens). A token's weight doubles from one length
     class to the next longer one, as longer tokens tell more, and weights
@@ -140,12 +183,16 @@ def scan_secrets(docs: DataFrame, alpha: float = 0.001, level: float = 0.05, kee
 
     docs has text (string); a null text is empty. Base kinds are leftmost and
     don't overlap within a kind; matches that fail a length are dropped after
-    matching. ``random`` spans are tokens that no base span covers, that the
-    battery doesn't reject as random at ``alpha``, and that the
-    false-discovery control at ``level`` reports. Spans are ordered by start,
-    then by kind as listed. Repeated rows are scanned each; all other columns
-    stay, but a column named found is replaced. An empty table gives an empty
-    table.
+    matching. Every run of 20 characters of TOKEN or more that no base span
+    covers is tested. It is a ``random`` span if the false-discovery control
+    at ``level`` rejects the natural hypothesis, and the control at ``alpha``
+    doesn't reject randomness. Both look at all tokens of the input, and give
+    longer tokens more weight. Short tokens of few symbols (digits, hex, lower
+    case) hold too little to be told from natural ones and are mostly left.
+
+    Spans are ordered by start, then by kind as listed. Repeated rows are
+    scanned and counted each; all other columns stay, but a column named found
+    is replaced. An empty table gives an empty table.
     """
     docs = without(docs, "found")
     carried = [c for c in docs.columns if keep_text or c != "text"]
@@ -161,20 +208,27 @@ def scan_secrets(docs: DataFrame, alpha: float = 0.001, level: float = 0.05, kee
             out = out | F.exists(kind, lambda b: (b["at"] <= s["at"]) & (s["upto"] <= b["upto"]))
         return out
 
-    plain = F.filter("tokens", lambda s: ~s["token"].rlike("^(?:[0-9]+|[A-Za-z]?[a-z]+|[-_+/]+)$") & ~covered(s))
-    tested = first.withColumn("tokens", F.transform(plain, lambda s: F.struct(s["at"], s["upto"], s["size"], _battery(s["token"]).alias("x"))))
-    tested = tested.withColumn("tokens", F.transform("tokens", lambda s: F.struct(s["at"].alias("at"), s["upto"].alias("upto"), _class(s["size"]).alias("class"), _p_values(s["x"]).alias("p"))))
-    slim = lambda kind: F.transform(kind, lambda s: F.struct(s["at"].alias("at"), s["upto"].alias("upto"))).alias(kind)
-    held = cut(tested.select("row", *[slim(kind) for kind, *_ in BASE], F.transform("tokens", lambda s: F.struct(s["at"].alias("at"), s["upto"].alias("upto"), s["class"].alias("class"), (s["p"]["battery"] >= alpha).alias("passes"), _bin(s["p"]["natural"]).alias("bin"))).alias("tokens")))
-    # At most one row a length class and bin.
-    counts = held.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.bin").count().collect()
-    least = discovery_bins([tuple(r) for r in counts], level)
-
-    def told(s: Column) -> Column:
+    left = F.filter("tokens", lambda s: ~covered(s))
+    span = lambda s, *more: F.struct(s["at"].alias("at"), s["upto"].alias("upto"), *more)
+    tested = first.withColumn("tokens", F.transform(left, lambda s: span(s, _class(s["size"]).alias("class"), _encoding(s["token"]).alias("e"))))
+    tested = tested.withColumn("tokens", F.transform("tokens", lambda s: span(s, s["class"].alias("class"), _statistics(s["e"]).alias("x"))))
+    tested = tested.withColumn("tokens", F.transform("tokens", lambda s: span(s, s["class"].alias("class"), _p_values(s["x"]).alias("p"))))
+    slim = lambda kind: F.transform(kind, lambda s: span(s)).alias(kind)
+    binned = F.transform("tokens", lambda s: span(s, s["class"].alias("class"), _bin(s["p"]["battery"]).alias("battery"), _bin(s["p"]["natural"]).alias("natural")))
+    held = cut(tested.select("row", *[slim(kind) for kind, *_ in BASE], binned.alias("tokens")))
+    # At most one row a length class and pair of bins.
+    counts = held.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.battery", "t.natural").count().collect()
+    not_random = discovery_bins([(c, b, n) for c, b, _, n in counts], alpha)
+    unnatural = discovery_bins([(c, b, n) for c, _, b, n in counts], level)
+
+    def rejected(s: Column, test: str, least: dict[int, int]) -> Column:
         out = F.lit(False)
         for i, b in least.items():
-            out = out | ((s["class"] == i) & (s["bin"] >= b))
-        return out & s["passes"]
+            out = out | ((s["class"] == i) & (s[test] >= b))
+        return out
+
+    def told(s: Column) -> Column:
+        return rejected(s, "natural", unnatural) & ~rejected(s, "battery", not_random)
 
     def ranked(rank: int, kind: str):
         return lambda s: F.struct(s["at"].alias("at"), F.lit(rank).alias("rank"), s["upto"].alias("upto"), F.lit(kind).alias("kind"))

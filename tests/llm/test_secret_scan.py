@@ -1,10 +1,16 @@
 import base64
 import hashlib
+import math
 import random
 import re
+import uuid
+from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from hopforge.llm import secret_scan as S
 from hopforge.llm.secret_scan import discovery_bins, op6_randomness_battery, scan_secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -73,3 +79,127 @@ def test_query_against_brute_force(spark):
         spans = base(t)
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, a, e in spans).encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[0] == k for s in spans) for k in ("assign", "access", "hex"))
+
+
+def normal_tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def chi_tail(x, df):
+    """1 - P(df / 2, x / 2), by the power series of the lower gamma function or the continued fraction of the upper."""
+    a, x = df / 2, x / 2
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        for i in range(1, 2000):
+            term *= x / (a + i)
+            total += term
+        return 1 - front * total
+    b, c = x + 1 - a, 1e300
+    d = h = 1 / b
+    for i in range(1, 2000):
+        an, b = -i * (i - a), b + 2
+        d = 1 / (an * d + b)
+        c = b + an / c
+        h *= d * c
+    return front * h
+
+
+def plain_p_values(token):
+    for name, whole, alphabet, s2, s3 in S.ENCODINGS:
+        if not whole or re.fullmatch(whole, token):
+            break
+    x = token.translate(str.maketrans("-_", "+/")) if name == "base64" else token.replace("-", "").lower()
+    n, k, v = len(x), len(alphabet), [alphabet.index(c) for c in x]
+    pairs = sum(c * (c - 1) // 2 for c in Counter(x).values())
+    uniform = chi_tail(k / n * sum(c * c for c in Counter(x).values()) - n, k - 1)
+    turns = sum((a >= k // 2) != (b >= k // 2) for a, b in zip(v, v[1:]))
+    runs = 2 * normal_tail(max(0, abs(turns - (n - 1) / 2) - 0.5) / math.sqrt((n - 1) / 4))
+    centre = (k - 1) / 2
+    product = sum((a - centre) * (b - centre) for a, b in zip(v, v[1:]))
+    serial = 2 * normal_tail(abs(product) / ((k * k - 1) / 12 * math.sqrt(n - 1)))
+    mean = n * (n - 1) / 2 * s2
+    ninth = (mean * (1 - s2) + n * (n - 1) * (n - 2) * (s3 - s2 * s2)) / (9 * mean * mean)
+    natural = normal_tail(-(((pairs + 0.5) / mean) ** (1 / 3) - 1 + ninth) / math.sqrt(ninth))
+    return min(1.0, 3 * min(uniform, runs, serial)), natural
+
+
+def plain_spans(texts, alpha=0.001, level=0.05):
+    """All spans of all texts, by the definition: step-up rules over the p-values in bins."""
+    bin_of = lambda p: min(S.BINS, math.floor(-math.log10(max(p, 1e-20)) * S.PER_DECADE))
+    found, tokens = [], []
+    for i, t in enumerate(texts):
+        mine = [(a, e, k) for k, a, e in base(t)]
+        found.append(mine)
+        for m in re.finditer(S.TOKEN, t or "", re.A):
+            if not any(a <= m.start() and m.end() <= e for a, e, _ in mine):
+                size = sum(len(m[0]) >= x for x in S.CLASSES) - 1
+                tokens.append((i, m.start(), m.end(), size, *map(bin_of, plain_p_values(m[0]))))
+
+    def step_up(bins, q):
+        """Largest r with at least r tokens whose p-value is at most their weight times q * r / n."""
+        n = len(bins)
+        scale = n / sum(2.0**c for c, _ in bins) if n else 0
+        for r in range(n, 0, -1):
+            least = lambda c, b: 10 ** (-b / S.PER_DECADE) <= 2.0**c * scale * q * r / n
+            if sum(least(*x) for x in bins) >= r:
+                return {x for x in bins if least(*x)}
+        return set()
+
+    odd = step_up([(t[3], t[4]) for t in tokens], alpha)
+    told = step_up([(t[3], t[5]) for t in tokens], level)
+    for i, a, e, size, battery, natural in tokens:
+        if (size, natural) in told and (size, battery) not in odd:
+            found[i].append((a, e, "random"))
+    rank = {k: j for j, k in enumerate(["assign", "access", "hex", "random"])}
+    return [",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted((a, rank[k], e, k) for a, e, k in mine)) for mine in found]
+
+
+def joined(row):
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in row.found)
+
+
+def test_tails(spark):
+    rows = [(z,) for z in (-6.0, -1.0, -1e-9, 0.0, 0.3, 1.0, 3.0, 5.0, 7.0, 12.0, 25.0)]
+    for z, got in spark.createDataFrame(rows, "z double").select("z", S._tail(F.col("z"))).collect():
+        assert got == pytest.approx(normal_tail(z), rel=5e-7)
+    rows = [(x, float(k)) for k in (10, 16, 26, 32, 36, 64) for x in (0.0, 0.5, 5.0, 20.0, 63.0, 95.0, 140.0, 400.0)]
+    for x, k, got in spark.createDataFrame(rows, "x double, k double").select("x", "k", S._chi_tail(F.col("x"), F.col("k"))).collect():
+        assert got == pytest.approx(chi_tail(x, k - 1), rel=2e-6, abs=1e-12 if got > 0.01 else 0)
+
+
+def planted():
+    rnd = random.Random(12)
+    keys = [base64.b64encode(rnd.randbytes(rnd.choice([18, 24, 36, 60]))).decode().rstrip("=") for _ in range(60)]
+    keys += ["".join(rnd.choices(S.LOWER + S.DIGITS, k=50)) for _ in range(20)] + ["".join(rnd.choices(S.UPPER, k=80)) for _ in range(10)]
+    keys += ["".join(rnd.choices(S.DIGITS, k=60)) for _ in range(5)] + [str(uuid.UUID(bytes=rnd.randbytes(16))) for _ in range(10)]
+    words = ["".join(rnd.choices("etaoinshrdlu", weights=[12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3], k=rnd.randrange(20, 70))) for _ in range(200)]
+    words += ["/".join(rnd.choices(["usr", "share", "Documents", "public_html", "index-of", "news"], k=6)) for _ in range(100)]
+    docs = [f"{a} is {b}\n{c}" for a, b, c in zip(rnd.choices(keys, k=150), rnd.choices(words, k=150), rnd.choices(words + keys[:5], k=150))]
+    return docs + docs[:7] + docs[:1] * 5 + [None, "", keys[0] * 400, "0" * 3000, " ".join(keys[:3]) + " token=" + keys[4], "token=" + "a" * 30 + "é" + keys[6]] + TEXTS
+
+
+def test_spans_against_brute_force(spark):
+    docs = planted()
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: joined(r) for r in scan_secrets(frame).collect()}
+    want = plain_spans(docs)
+    assert [got[i] for i in range(len(docs))] == want
+    assert sum("random" in w for w in want) > 60
+
+
+def test_query_spans_against_brute_force(spark):
+    docs = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    want = dict(zip([d for d, _ in docs], plain_spans([t for _, t in docs]), strict=True))
+    assert {r.doc_id: r.spans for r in op6_randomness_battery(spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_recall_of_random_keys(spark):
+    rnd = random.Random(3)
+    keys = [base64.b64encode(rnd.randbytes(36)).decode() for _ in range(400)] + ["".join(rnd.choices(S.LOWER + S.DIGITS, k=60)) for _ in range(200)]
+    words = ["".join(rnd.choices("etaoinshrdlu", weights=[12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3], k=40)) for _ in range(2000)]
+    frame = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + words)], "doc_id long, text string")
+    told = {r.doc_id for r in scan_secrets(frame).collect() if r.found}
+    assert len(told & set(range(600))) >= 560 and len(told - set(range(600))) <= 30
