@@ -57,6 +57,27 @@ def test_clashing_columns_stay(spark):
     assert out.count() == 2
 
 
+def test_names_clash_in_any_case(spark):
+    out = assign_shards(spark.createDataFrame([("a", 1, 5, 6), ("b", 2, 5, 6)], "key string, size long, SHARD int, Slot int"), "key", "size", 2)
+    assert out.columns == ["key", "size", "shard", "slot"] and {r.shard for r in out.collect()} == {0, 1}
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    from hopforge.llm import sharding as S
+
+    docs = [(i, f"text {i % 900}" * (i % 13)) for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = sorted((r.doc_id, r.shard, r.slot) for r in shard_documents(frame).collect())
+    for name, value in (("COARSE", 2), ("FINE", 2), ("RANGE_ROWS", 40)):
+        monkeypatch.setattr(S, name, value)
+    held = []
+    before = S._subdivided
+    monkeypatch.setattr(S, "_subdivided", lambda *a: held.append(before(*a)) or held[0])
+    assert sorted((r.doc_id, r.shard, r.slot) for r in shard_documents(frame).collect()) == plain
+    sizes = [r[0] for r in held[0].groupBy("r", "part").count().select("count").collect()]
+    assert len(sizes) > 40 and max(sizes) < 300
+
+
 def test_query(spark):
     out = op7_sampled_splitters(spark, "/root/testdata/sf0.001")
     docs = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
