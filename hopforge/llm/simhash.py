@@ -1,11 +1,13 @@
 """SimHash near-dedup by multi-index hashing.
 
-Equal fingerprints are one node. A fingerprint is cut into three segments.
-Fingerprints within the radius differ by few bits in at least one segment, so
-each is looked up at the points of a small Hamming ball around its value in
-that segment; what the table holds there is verified over all 64 bits.
-Buckets that hold many fingerprints are linked in blocks, which report a
-spanning forest and not their pairs. Links then become components.
+Equal fingerprints are one node. A fingerprint is cut into segments, and each
+table has a key of one or several of them, longer for more fingerprints.
+Fingerprints within the radius differ by few bits in at least one table's
+segments, so each is looked up at the points of a small Hamming ball around
+its value there; what the table holds is verified over all 64 bits. Buckets
+where many fingerprints meet are linked in blocks, which report a spanning
+forest and not their pairs; where even these would be too many, through the
+points within half the radius. Links then become components.
 
 The pipeline's near copies are found by bands of smallest shingle hashes and
 verified by the exact Jaccard similarity of their shingle hashes.
@@ -14,6 +16,7 @@ verified by the exact Jaccard similarity of their shingle hashes.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 from hopforge.llm.components import components
 from hopforge.llm.support import cut, fresh, groups_of, small, table, texts
 
-#: A bucket with more table entries than this is linked in blocks of BLOCK fingerprints.
-CROWDED, BLOCK = 32, 4096
+#: A bucket with more entries or probes than these is linked in blocks of BLOCK fingerprints; its keys are dealt over SALTS parts of a join.
+CROWDED, PROBED, BLOCK, SALTS = 32, 1024, 4096, 64
+#: Segments of a fingerprint and how many of them make a key, shortest keys first: of 21, 26 and 32 bits.
+SCHEMES = ((3, 1), (5, 2), (6, 3))
 #: Near copies: bands, minima a band, and the hash orders whose minima they are.
 BANDS, ROWS = 12, 4
 ORDERS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
@@ -60,12 +65,31 @@ def segments(radius: int) -> list[tuple[int, int, int]]:
     return [(at, bits, r) for (at, bits), r in zip([(0, 21), (21, 21), (42, 22)], near, strict=True) if r >= 0]
 
 
+def tables(radius: int, scheme: tuple[int, int]) -> list[tuple[list[tuple[int, int]], int]]:
+    """([(first bit, bits) of each segment of the key], radius of the ball) of each table.
+
+    Of ``radius`` differing bits in m segments the cleanest c hold at most s,
+    if s + (m - c) * ceil(s / c) > radius for any larger s.
+    """
+    m, c = scheme
+    if c == 1:
+        return [([(at, bits)], near) for at, bits, near in segments(radius)]
+    ends = [64 * i // m for i in range(m + 1)]
+    near = max(s for s in range(radius + 1) if s + (m - c) * -(-s // c) <= radius)
+    return [([(ends[i], ends[i + 1] - ends[i]) for i in some], near) for some in combinations(range(m), c)]
+
+
+def scheme_for(n: int) -> tuple[int, int]:
+    """The shortest keys by which n evenly spread fingerprints fill a bucket with eight or fewer; else the longest."""
+    for m, c in SCHEMES:
+        if n <= 8 << (64 * c // m):
+            return m, c
+    return SCHEMES[-1]
+
+
 def ball(bits: int, radius: int) -> list[int]:
     """All masks of up to radius ones among the low bits, zero first."""
-    masks = [0]
-    for _ in range(radius):
-        masks += sorted({m | 1 << i for m in masks for i in range(bits)} - set(masks))
-    return masks
+    return [sum(1 << i for i in some) for ones in range(radius + 1) for some in combinations(range(bits), ones)]
 
 
 def spanning_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -84,31 +108,38 @@ def spanning_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _links(prints: DataFrame, radius: int) -> DataFrame:
+def _links(prints: DataFrame, radius: int, scheme: tuple[int, int]) -> DataFrame:
     """(a, b) of distinct fingerprints ``f``: enough links for all components."""
-    entries, probes = [], []
-    for i, (at, bits, near) in enumerate(segments(radius)):
-        value = F.shiftrightunsigned("f", at).bitwiseAND(F.lit((1 << bits) - 1))
-        key = lambda v, i=i: (v + F.lit(i << 32)).alias("key")
-        entries.append(prints.select(key(value), "f"))
-        # Of two values one bit apart, only the even one looks for the other.
-        masks = ball(bits, near)
+    probes = []
+    for i, (parts, near) in enumerate(tables(radius, scheme)):
+        value, width = F.lit(0).cast("long"), 0
+        for at, bits in parts:
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("f", at).bitwiseAND(F.lit((1 << bits) - 1)), width))
+            width += bits
+        masks = ball(width, near)
         if near == 1:
-            masks = F.when(F.bit_count(value) % 2 == 0, F.array(*map(F.lit, masks))).otherwise(F.array(F.lit(0)))
+            # Of two values one bit apart, only the even one looks for the other.
+            every = F.when(F.bit_count(value) % 2 == 0, F.array(*map(F.lit, masks))).otherwise(F.array(F.lit(0)))
         else:
-            masks = F.array(*map(F.lit, masks))
-        probes.append(prints.select(F.explode(masks).alias("mask"), "f", value.alias("v")).select(key(F.col("v").bitwiseXOR(F.col("mask").cast("long"))), "f"))
-    entries, probes = (reduce(DataFrame.unionByName, x) for x in (entries, probes))
-    crowded = cut(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED))
-    roomy = entries.join(crowded, "key", "left_anti").select("key", F.col("f").alias("f2"))
+            every = F.array(*map(F.lit, masks))
+        key = (F.col("v").bitwiseXOR(F.col("mask").cast("long")) + F.lit(i << 40)).alias("key")
+        probes.append(prints.select(F.explode(every).alias("mask"), "f", value.alias("v")).select(key, "f", (F.col("mask") == 0).alias("own")))
+    # A table's entries are the probes with the mask zero.
+    probes = reduce(DataFrame.unionByName, probes)
+    salt = F.pmod(F.xxhash64("f"), F.lit(SALTS)).cast("int")
+    crowded = probes.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("entries")).where(((F.col("entries") > CROWDED) | (F.col("n") > PROBED)) & (F.col("entries") > 0))
+    crowded = cut(crowded.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    roomy = probes.where("own").withColumn("salt", salt).join(crowded.select("key", "salt"), ["key", "salt"], "left_anti").select("key", F.col("f").alias("f2"))
     close = F.bit_count(F.col("f").bitwiseXOR(F.col("f2"))) <= radius
     few = probes.join(roomy, "key").where((F.col("f") != F.col("f2")) & close).select(F.col("f").alias("a"), F.col("f2").alias("b"))
 
-    # What meets in a crowded bucket is dealt into blocks, and each pair of blocks is linked once.
-    meeting = cut(probes.join(crowded.select("key"), "key"))
-    blocks = meeting.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # What meets in a crowded bucket is dealt into blocks, and each pair of blocks is linked once. A fingerprint is
+    # sent to every block of its bucket, or to the points around it, whichever are fewer.
+    points = ball(64, radius // 2) if radius % 2 == 0 else None
+    meeting = cut(probes.withColumn("salt", salt).join(crowded, ["key", "salt"]).select("key", "f", "blocks"))
+    blocks = meeting if points is None else meeting.where(F.col("blocks") <= len(points))
     block = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")
-    dealt = meeting.join(blocks, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = blocks.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "f")
 
     def forests(batches):
@@ -117,8 +148,17 @@ def _links(prints: DataFrame, radius: int) -> DataFrame:
             found = np.array(spanning_forest(nodes.view(np.uint64), radius), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, i]]) for i in (0, 1)], names=["a", "b"])
 
-    many = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(forests, "a long, b long")
-    return few.unionByName(many)
+    links = few.unionByName(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(forests, "a long, b long"))
+    if points is None or not (huge := meeting.where(F.col("blocks") > len(points))).take(1):
+        return links
+    # Fingerprints within half the radius of a point are within the radius of each other, and any two within the radius share a point.
+    around = huge.select("f").distinct().select("f", F.explode(F.array(*map(F.lit, map(_signed, points)))).alias("mask")).select("f", F.col("f").bitwiseXOR(F.col("mask")).alias("point"))
+    least = around.groupBy("point").agg(F.min("f").alias("b"))
+    return links.unionByName(around.join(least, "point").where("f <> b").select(F.col("f").alias("a"), "b").distinct())
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) -> DataFrame:
@@ -144,7 +184,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) ->
 
     marked = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f long"))
     prints = cut(marked.groupBy("f").agg(F.min("doc_id").alias("first")))
-    roots = components(_links(prints.select("f"), radius))
+    roots = components(_links(prints.select("f"), radius, scheme_for(prints.count())))
     named = _named(marked.withColumn("node", F.col("f")), prints.withColumn("node", F.col("f")), roots)
     return named.select("doc_id", F.col("f").alias("fingerprint"), "component_id")
 

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from hopforge.llm.components import components
-from hopforge.llm.simhash import _links, ball, fingerprint, keep_first_of_each, near_duplicates, op3_multi_index, segments, spanning_forest
+from hopforge.llm.simhash import SCHEMES, _links, ball, fingerprint, keep_first_of_each, near_duplicates, op3_multi_index, scheme_for, segments, spanning_forest, tables
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -56,7 +56,37 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def test_links_reach_as_far_as_brute_force(spark):
+@pytest.mark.parametrize("scheme", SCHEMES)
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 6])
+def test_tables_miss_nothing(scheme, radius):
+    rnd = random.Random(radius)
+    held = tables(radius, scheme)
+    for _ in range(400):
+        mask = sum(1 << b for b in rnd.sample(range(64), radius))
+        assert any(sum((mask >> at & (1 << bits) - 1).bit_count() for at, bits in parts) <= near for parts, near in held)
+
+
+def test_keys_grow_with_the_input():
+    assert scheme_for(0) == scheme_for(10**7) == (3, 1) and scheme_for(10**8) == (5, 2) and scheme_for(10**10) == (6, 3)
+    for n in (10**6, 10**8, 3 * 10**10):
+        bits = sum(bits for _, bits in tables(4, scheme_for(n))[0][0])
+        assert n / 2**bits <= 8
+
+
+# Blocks and points for small buckets too, and both at once.
+@pytest.mark.parametrize(("scheme", "crowded", "block", "half"), [(s, 32, 4096, None) for s in SCHEMES] + [(SCHEMES[0], 3, 7, None), (SCHEMES[1], 3, 7, 3), (SCHEMES[0], 1, 2, 4)])
+def test_links_reach_as_far_as_brute_force(spark, monkeypatch, scheme, crowded, block, half):
+    from hopforge.llm import simhash
+
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    if half:  # the points are taken as so few that most crowded buckets go through them
+        class Few(list):
+            def __len__(self):
+                return half
+
+        plain = simhash.ball
+        monkeypatch.setattr(simhash, "ball", lambda bits, radius: Few(plain(bits, radius)) if bits == 64 else plain(bits, radius))
     rnd = random.Random(11)
     prints = {0, (1 << 64) - 1}
     for _ in range(25):
@@ -65,7 +95,7 @@ def test_links_reach_as_far_as_brute_force(spark):
             prints.add(center ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(0, 6))))
     prints = sorted(prints)
     frame = spark.createDataFrame([(signed(p),) for p in prints], "f long")
-    roots = {r.node: r.root for r in components(_links(frame, 4)).collect()}
+    roots = {r.node: r.root for r in components(_links(frame, 4, scheme)).collect()}
     want = brute_components(prints, [signed(p) for p in prints])
     assert [roots.get(signed(p), signed(p)) for p in prints] == want
 
