@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopforge.functions.ordering import shuffled
+from hopforge.functions.ordering import numbered, shuffled
+from hopforge.plans.placement import HUB
 
 #: Share of nodes kept by value, share of the others dropped, degree from which rows are cut, and share kept of those.
 KEPT, DROPPED, HIGH, SHORT = 0.6, 0.8, 60, 0.5
@@ -27,12 +28,13 @@ def trim_nodes(ranked: DataFrame, seed: int = 42) -> DataFrame:
 
     ranked is (part, node, value, rank).
     """
-    n = F.count("*").over(Window.partitionBy("part"))
-    first = F.floor(n * F.lit(KEPT))
-    sized = ranked.withColumn("first_", first).withColumn("top", F.col("rank") <= F.col("first_"))
-    lot = F.row_number().over(Window.partitionBy("part", "top").orderBy(shuffled(F.lit(seed), "part", "node"), "node"))
-    drops = F.floor((n - F.col("first_")) * F.lit(DROPPED))
-    return sized.select("part", "node", "top", lot.alias("lot"), drops.alias("drops")).select("part", "node", (F.col("top") | (F.col("lot") > F.col("drops"))).alias("kept"))
+    # One row a part.
+    sizes = F.broadcast(ranked.groupBy("part").agg(F.count("*").alias("n")).withColumn("first", F.floor(F.col("n") * F.lit(KEPT))))
+    sized = ranked.select("part", "node", "rank").join(sizes, "part")
+    top = sized.where(F.col("rank") <= F.col("first")).select("part", "node", F.lit(True).alias("kept"))
+    rest = sized.where(F.col("rank") > F.col("first")).withColumn("digest", shuffled(F.lit(seed), "part", "node"))
+    drops = F.floor((F.col("n") - F.col("first")) * F.lit(DROPPED))
+    return top.unionByName(numbered(rest, ["part"], ["digest", "node"], "lot").select("part", "node", (F.col("lot") > drops).alias("kept")))
 
 
 def trim_edges(edges: DataFrame, kept: DataFrame, seed: int = 42) -> DataFrame:
@@ -41,17 +43,24 @@ def trim_edges(edges: DataFrame, kept: DataFrame, seed: int = 42) -> DataFrame:
     edges is (part, src, dst); kept is (part, node, kept) over the same ids.
     """
     alive = edges.join(kept.where("kept").select("part", F.col("node").alias("dst")), ["part", "dst"], "left_semi")
-    row = Window.partitionBy("part", "dst")
-    deg = F.count("*").over(row)
-    lot = F.row_number().over(row.orderBy(shuffled(F.lit(seed), "part", "dst", "src"), "src"))
-    sized = alive.select("part", "src", "dst", deg.alias("deg"), lot.alias("lot"))
-    return sized.where((F.col("deg") < HIGH) | (F.col("lot") <= F.floor(F.col("deg") * F.lit(SHORT)))).select("part", "src", "dst")
+    row = ["part", "dst"]
+    counts = alive.groupBy(*row).agg(F.count("*").alias("deg"))
+    low = alive.join(counts.where(F.col("deg") < HIGH), row, "left_semi").select("part", "src", "dst")
+    high = alive.join(counts.where(F.col("deg") >= HIGH), row).withColumn("digest", shuffled(F.lit(seed), "part", "dst", "src"))
+    # A row of up to HUB edges is ranked by one task, and the few longer ones by ranges.
+    short = high.where(F.col("deg") <= HUB).withColumn("lot", F.row_number().over(Window.partitionBy(*row).orderBy("digest", "src")))
+    ranked = [short.select("part", "src", "dst", "deg", "lot")]
+    if counts.where(F.col("deg") > HUB).take(1):
+        ranked.append(numbered(high.where(F.col("deg") > HUB), row, ["digest", "src"], "lot").select("part", "src", "dst", "deg", "lot"))
+    for some in ranked:
+        low = low.unionByName(some.where(F.col("lot") <= F.floor(F.col("deg") * F.lit(SHORT))).select("part", "src", "dst"))
+    return low
 
 
 def kept_places(kept: DataFrame) -> DataFrame:
     """(part, node, place): running number of kept nodes by id, from 0; null for dropped ones."""
-    running = F.sum(F.col("kept").cast("long")).over(Window.partitionBy("part").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    return kept.select("part", "node", F.when(F.col("kept"), running - 1).alias("place"))
+    places = numbered(kept.where("kept").select("part", "node"), ["part"], ["node"], "place")
+    return places.select("part", "node", (F.col("place") - 1).alias("place")).unionByName(kept.where("not kept").select("part", "node", F.lit(None).cast("long").alias("place")))
 
 
 def kept_features(places: DataFrame, features: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopforge.functions.ordering import numbered
+
 
 def steps(order: DataFrame) -> DataFrame:
     """(from_part, to_part): consecutive pairs, from the last back to the first."""
@@ -45,10 +47,10 @@ def padded(places: DataFrame, ids: DataFrame, step: DataFrame, side: str, pos: s
 
 def pairing(ids: DataFrame, step: DataFrame) -> DataFrame:
     """(from_part, to_part, k, prev_pos, next_pos): the k-th free place takes the k-th new one."""
-    numbered = lambda df, pos: df.withColumn("k", F.row_number().over(Window.partitionBy("from_part", "to_part").orderBy(pos)) - 1)
-    old = numbered(padded(freed(ids, step), ids, step, "from_part", "prev_pos"), "prev_pos")
-    new = numbered(padded(added(ids, step), ids, step, "to_part", "next_pos"), "next_pos")
-    return old.join(new, ["from_part", "to_part", "k"]).select("from_part", "to_part", F.col("k").cast("long").alias("k"), "prev_pos", "next_pos")
+    by = ["from_part", "to_part"]
+    old = numbered(padded(freed(ids, step), ids, step, "from_part", "prev_pos"), by, ["prev_pos"], "k")
+    new = numbered(padded(added(ids, step), ids, step, "to_part", "next_pos"), by, ["next_pos"], "k")
+    return old.join(new, [*by, "k"]).select(*by, (F.col("k") - 1).alias("k"), "prev_pos", "next_pos")
 
 
 def next_slots(slots: DataFrame, same_nodes: DataFrame, pairs: DataFrame) -> DataFrame:

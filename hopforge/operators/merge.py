@@ -79,10 +79,10 @@ def merge_levels(sets: Sets, parts: list[int], avg_degree: float, ceiling: float
 
 
 #: Merge strategies by name.
-STRATEGIES: dict[str, Strategy] = {"single": merge_levels}
+STRATEGIES: dict[str, Strategy] = {"cheapest_with_dearest": merge_levels}
 
 
-def merge_plan(members: DataFrame, avg_degree: float, ceiling: float = CEILING, features: int = FEATURES, strategy: str = "single") -> DataFrame:
+def merge_plan(members: DataFrame, avg_degree: float, ceiling: float = CEILING, features: int = FEATURES, strategy: str = "cheapest_with_dearest") -> DataFrame:
     """(part, merged_part, weight). Only the counts by set of parts reach the driver."""
     sets = [(frozenset(r[0]), r[1]) for r in part_sets(members).collect()]
     parts = sorted({p for s, _ in sets for p in s})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopforge.functions.ordering import shuffled
+from hopforge.functions.ordering import numbered, shuffled
 from hopforge.plans.lineage import cut
 from hopforge.plans.placement import Placed, place
 
@@ -17,8 +17,8 @@ PER_PART = 1 << 20
 
 def batches(seeds: DataFrame, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """(batch, part, pos, node): a part's seeds in random order, ``size`` to a batch, the last one shorter."""
-    at = F.row_number().over(Window.partitionBy("part").orderBy(shuffled(F.lit(seed), F.lit(epoch), "node"), "node")) - 1
-    placed = seeds.select("part", "node", at.alias("at"))
+    drawn = seeds.select("part", "node", shuffled(F.lit(seed), F.lit(epoch), "node").alias("digest"))
+    placed = numbered(drawn, ["part"], ["digest", "node"], "at").select("part", "node", (F.col("at") - 1).alias("at"))
     return placed.select((F.col("part") * PER_PART + F.floor(F.col("at") / size)).cast("long").alias("batch"), "part", (F.col("at") % size).cast("long").alias("pos"), "node")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopforge.functions.ordering import numbered
+
 
 def self_loops(seeds: DataFrame) -> DataFrame:
     """(part, src, dst): a loop at each seed, so that every seed has an in-edge."""
@@ -29,7 +31,7 @@ def closure_violations(edges: DataFrame, members: DataFrame, interior: DataFrame
 
 def local_ids(members: DataFrame) -> DataFrame:
     """(part, node, lid): places in the part's sorted node list, from 0."""
-    return members.select("part", "node", (F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).cast("long").alias("lid"))
+    return numbered(members.select("part", "node"), ["part"], ["node"], "lid").select("part", "node", (F.col("lid") - 1).alias("lid"))
 
 
 def relabelled(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -42,13 +44,13 @@ def indptr(local_edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(part, dst, deg, upto): in-degree and its running sum; nodes without in-edges are there too."""
     counts = local_edges.groupBy("part", "dst").agg(F.count("*").alias("deg"))
     rows = ids.select("part", F.col("lid").alias("dst")).join(counts, ["part", "dst"], "left").withColumn("deg", F.coalesce("deg", F.lit(0)).cast("long"))
-    return rows.withColumn("upto", F.sum("deg").over(Window.partitionBy("part").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered(rows, ["part"], ["dst"], value="deg").select("part", "dst", "deg", "upto")
 
 
 def degrees_from_indptr(pointers: DataFrame) -> DataFrame:
-    """(part, dst, deg): differences of neighbouring pointers."""
-    before = F.lag("upto", 1, 0).over(Window.partitionBy("part").orderBy("dst"))
-    return pointers.select("part", "dst", (F.col("upto") - before).alias("deg"))
+    """(part, dst, deg): differences of neighbouring pointers; dst are local ids, one after the other."""
+    before = pointers.select("part", (F.col("dst") + 1).alias("dst"), F.col("upto").alias("before"))
+    return pointers.join(before, ["part", "dst"], "left").select("part", "dst", (F.col("upto") - F.coalesce("before", F.lit(0))).alias("deg"))
 
 
 def adjacency(local_edges: DataFrame) -> DataFrame:
@@ -58,8 +60,7 @@ def adjacency(local_edges: DataFrame) -> DataFrame:
 
 def indices(local_edges: DataFrame) -> DataFrame:
     """(part, pos, dst, src): the flat index vector of a part, by destination and then source."""
-    pos = F.row_number().over(Window.partitionBy("part").orderBy("dst", "src")) - 1
-    return local_edges.select("part", pos.cast("long").alias("pos"), "dst", "src")
+    return numbered(local_edges, ["part"], ["dst", "src"], "pos").select("part", (F.col("pos") - 1).alias("pos"), "dst", "src")
 
 
 def gathered(ids: DataFrame, table: DataFrame) -> DataFrame:
@@ -69,8 +70,13 @@ def gathered(ids: DataFrame, table: DataFrame) -> DataFrame:
 
 def ranked_by_value(members: DataFrame, value: DataFrame) -> DataFrame:
     """(part, node, value, rank): nodes by value, largest first, ties by id."""
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("value"), "node"))
-    return members.select("part", "node").join(value, "node").select("part", "node", "value", rank.cast("long").alias("rank"))
+    valued = members.select("part", "node").join(value, "node").select("part", "node", "value")
+    return numbered(valued, ["part"], [F.desc("value"), "node"])
+
+
+def ranked_local(ranked: DataFrame, ids: DataFrame) -> DataFrame:
+    """(part, rank, lid): the local ids of a part's nodes in the order of ranked_by_value."""
+    return ranked.join(ids, ["part", "node"]).select("part", "rank", "lid")
 
 
 def manifest(members: DataFrame, kept: DataFrame) -> DataFrame:

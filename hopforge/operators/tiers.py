@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopforge.functions.ordering import numbered
+
 
 def tier_init(kept: DataFrame) -> DataFrame:
     """(part, node, slot) from (part, node, kept): kept nodes get 1, 2, ... and the others -1, -2, ..., by id."""
-    k = F.row_number().over(Window.partitionBy("part", "kept").orderBy("node")).cast("long")
-    return kept.select("part", "node", F.when(F.col("kept"), k).otherwise(-k).alias("slot"))
+    k = F.col("k")
+    return numbered(kept.select("part", "node", "kept"), ["part", "kept"], ["node"], "k").select("part", "node", F.when(F.col("kept"), k).otherwise(-k).alias("slot"))
 
 
 def tier_write(rows: DataFrame, updates: DataFrame) -> DataFrame:
@@ -24,9 +26,7 @@ def tier_swap(slots: DataFrame, wanted: DataFrame) -> DataFrame:
     fast tier change slots, by id; wanted nodes beyond the unwanted ones stay.
     """
     marked = slots.join(wanted.select("part", "node", F.lit(True).alias("w")), ["part", "node"], "left").withColumn("w", F.coalesce("w", F.lit(False)))
-    i = F.row_number().over(Window.partitionBy("part").orderBy("node"))
-    up = marked.where("w and slot < 0").select("part", "node", "slot", i.alias("i"))
-    down = marked.where("not w and slot > 0").select("part", "node", "slot", i.alias("i"))
+    up, down = (numbered(marked.where(which).select("part", "node", "slot"), ["part"], ["node"], "i") for which in ("w and slot < 0", "not w and slot > 0"))
     pairs = up.join(down.select("part", "i", F.col("node").alias("node2"), F.col("slot").alias("slot2")), ["part", "i"])
     both = F.array(F.struct(F.col("node"), F.col("slot2").alias("slot")), F.struct(F.col("node2").alias("node"), F.col("slot")))
     moved = pairs.select("part", F.inline(both))
