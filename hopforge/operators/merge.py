@@ -16,6 +16,8 @@ from hopforge.plans.lineage import cut
 
 #: Width of a feature row and ceiling of a part, in MB.
 FEATURES, CEILING = 100, 12_000.0
+#: Sets of parts that the driver may hold.
+MOST_SETS = 1_000_000
 
 
 def cost_mb(nodes: float, avg_degree: float, features: int = FEATURES) -> float:
@@ -83,8 +85,15 @@ STRATEGIES: dict[str, Strategy] = {"cheapest_with_dearest": merge_levels}
 
 
 def merge_plan(members: DataFrame, avg_degree: float, ceiling: float = CEILING, features: int = FEATURES, strategy: str = "cheapest_with_dearest") -> DataFrame:
-    """(part, merged_part, weight). Only the counts by set of parts reach the driver."""
-    sets = [(frozenset(r[0]), r[1]) for r in part_sets(members).collect()]
+    """(part, merged_part, weight). Only the counts by set of parts reach the driver.
+
+    These are as many as there are different sets; more than MOST_SETS are an
+    error, since every try of a merge goes through them.
+    """
+    held = part_sets(members)
+    if (n := held.count()) > MOST_SETS:
+        raise ValueError(f"nodes lie in {n} different sets of parts, more than {MOST_SETS}")
+    sets = [(frozenset(r[0]), r[1]) for r in held.collect()]
     parts = sorted({p for s, _ in sets for p in s})
     plan = STRATEGIES[strategy](sets, parts, avg_degree, ceiling, features)
     return members.sparkSession.createDataFrame([(p, *plan[p]) for p in parts], "part long, merged_part long, weight long")

@@ -9,30 +9,76 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: numpy types by name, and the Spark type they widen to.
 KINDS = {"int32": ("<i4", "long"), "int64": ("<i8", "long"), "float32": ("<f4", "float"), "float64": ("<f8", "double")}
 
 
-def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(pos, raw): the records of a file in order; each split is read by one task."""
-    return spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0]))).toDF("pos long, raw binary")
+#: Bytes of a file that one task reads, and rows that travel together.
+TASK_BYTES, ROWS = 64 << 20, 1 << 16
 
 
-def read_vectors(spark: SparkSession, path: str, kind: str, width: int = 1) -> DataFrame:
-    """(pos, v): row ``pos`` of a row-major file; v is an array if width is over 1."""
-    code, sql = KINDS[kind]
-    size = np.dtype(code).itemsize * width
+def _filesystem(path: str):
+    """(pyarrow file system, path in it)."""
+    from pyarrow import fs
 
-    def parse(batches):
-        for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), code)
-            values = pa.array(flat.astype(np.int64) if sql == "long" else flat)
-            if width > 1:
-                values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["pos", "v"])
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+class RawVectors(DataSource):
+    """Rows of raw files as (pos, v): each task reads a byte range, and positions follow from its offset.
 
-    return _records(spark, path, size).mapInArrow(parse, f"pos long, v {f'array<{sql}>' if width > 1 else sql}")
+    Options: path (a file that executors reach too), kind, width, begin and
+    end (row numbers). Bytes outside begin and end aren't read.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "raw_vectors"
+
+    def schema(self) -> str:
+        sql = KINDS[self.options["kind"]][1]
+        return f"pos long, v {f'array<{sql}>' if int(self.options['width']) > 1 else sql}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return RawReader(dict(self.options))
+
+
+class RawReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.width = options["path"], int(options["width"])
+        self.code, self.sql = KINDS[options["kind"]]
+        self.size = np.dtype(self.code).itemsize * self.width
+        self.begin, self.end = max(0, int(options.get("begin", 0))), options.get("end")
+
+    def partitions(self) -> list[InputPartition]:
+        files, path = _filesystem(self.path)
+        length = files.get_file_info(path).size
+        if length is None or length % self.size:
+            raise ValueError(f"{self.path} isn't a file of whole rows of {self.size} bytes")
+        end = length // self.size if self.end is None else min(int(self.end), length // self.size)
+        step = max(1, TASK_BYTES // self.size)
+        return [InputPartition((lo, min(end, lo + step))) for lo in range(self.begin, end, step)]
+
+    def read(self, partition: InputPartition):
+        files, path = _filesystem(self.path)
+        lo, hi = partition.value
+        with files.open_input_file(path) as file:
+            for at in range(lo, hi, ROWS):
+                n = min(ROWS, hi - at)
+                flat = np.frombuffer(file.read_at(n * self.size, at * self.size), self.code)
+                values = pa.array(flat.astype(np.int64) if self.sql == "long" else flat)
+                if self.width > 1:
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, self.width), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), values], names=["pos", "v"])
+
+
+def read_vectors(spark: SparkSession, path: str, kind: str, width: int = 1, begin: int = 0, end: int | None = None) -> DataFrame:
+    """(pos, v): rows begin to end of a row-major file; v is an array if width is over 1."""
+    spark.dataSource.register(RawVectors)
+    options = {"kind": kind, "width": str(width), "begin": str(begin)} | ({} if end is None else {"end": str(end)})
+    return spark.read.format("raw_vectors").options(**options).load(path)
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +93,8 @@ def read_split_edges(spark: SparkSession, src: str, dst: str, kind: str = "int64
 
 
 def read_features(spark: SparkSession, path: str, width: int, begin: int = 0, end: int | None = None) -> DataFrame:
-    """(node, feat) of rows begin to end of a float32 matrix."""
-    rows = read_vectors(spark, path, "float32", width).select(F.col("pos").alias("node"), F.col("v").alias("feat"))
-    return feature_range(rows, begin, end)
+    """(node, feat) of rows begin to end of a float32 matrix; no other bytes are read."""
+    return read_vectors(spark, path, "float32", width, begin, end).select(F.col("pos").alias("node"), F.col("v").alias("feat"))
 
 
 def feature_range(features: DataFrame, begin: int, end: int | None = None) -> DataFrame:

@@ -201,3 +201,26 @@ def test_whole_job(spark, tmp_path):
     batch, drawn, ids = jobs.batch_tables(done, [2, 2], 4)
     assert ids.join(batch, ["batch", "node"]).where("lid <> pos").count() == 0
     assert drawn.groupBy("batch", "hop", "occ").count().where("count > 2").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_branch_and_bound_equals_dynamic_programming(seed, monkeypatch):
+    rnd = random.Random(seed)
+    n = rnd.randrange(1, 8)
+    cost = {(i, j): 0 if i == j else rnd.randrange(1, 6) for i in range(n) for j in range(n)}
+    want = order.cheapest_path(cost)
+    monkeypatch.setattr(order, "MOST", 0)
+    assert order.cheapest_path(cost) == want
+
+
+def test_numbers_over_many_ranges(spark):
+    from hopforge.functions.ordering import numbered
+
+    rows = [(p, n, n % 7) for p, size in ((1, 500), (2, 3), (3, 0), (4, 200)) for n in range(size)]
+    frame = spark.createDataFrame(rows, "part long, node long, deg long").repartition(7)
+    got = {(r.part, r.node): (r.rank, r.upto) for r in numbered(frame, ["part"], ["node"], value="deg").collect()}
+    want, at = {}, {}
+    for p, n, d in rows:
+        at[p] = at.get(p, 0) + d
+        want[p, n] = (n + 1, at[p])
+    assert got == want

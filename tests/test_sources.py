@@ -131,3 +131,17 @@ def test_training_learns_a_split(spark):
     assert losses[-1] < losses[0] / 2
     empty = spark.createDataFrame([], "x array<double>, label long")
     assert training.softmax_head(empty, 2)[1] == []
+
+
+def test_only_the_range_is_read(spark, tmp_path, monkeypatch):
+    np.arange(3_000, dtype="<f4").tofile(tmp_path / "feat.bin")
+    reader = B.RawReader({"path": str(tmp_path / "feat.bin"), "kind": "float32", "width": "3", "begin": "100", "end": "107"})
+    monkeypatch.setattr(B, "TASK_BYTES", 36)
+    parts = reader.partitions()
+    assert [p.value for p in parts] == [(100, 103), (103, 106), (106, 107)]
+    assert [b.column(0).to_pylist() for b in reader.read(parts[0])] == [[100, 101, 102]]
+    got = B.read_features(spark, f"file://{tmp_path}/feat.bin", 3, 100, 107).orderBy("node").collect()
+    assert [(r.node, list(r.feat)) for r in got] == [(i, [3.0 * i, 3.0 * i + 1, 3.0 * i + 2]) for i in range(100, 107)]
+    assert B.read_vectors(spark, str(tmp_path / "feat.bin"), "float32").count() == 3000
+    with pytest.raises(Exception, match="whole rows"):
+        B.read_vectors(spark, str(tmp_path / "feat.bin"), "float32", 7).count()
