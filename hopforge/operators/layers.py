@@ -130,6 +130,24 @@ def inference(nodes: DataFrame, layers: Sequence[Callable[[DataFrame], DataFrame
     return nodes
 
 
+def sampled_scores(batch_rows: DataFrame, sampled: DataFrame, nodes: DataFrame, layers: Sequence[tuple[Matrix, Matrix, str]]) -> DataFrame:
+    """(batch, node, x) of the seeds: mean layers (W_self, W_neigh, activation) over the sampled blocks of their batches.
+
+    The first of L layers sees the edges of all L hops, the last those of the
+    first hop alone. An edge drawn twice counts twice.
+    """
+    now = batch_rows.select("batch", "node").unionByName(sampled.select("batch", F.col("src").alias("node"))).distinct().join(nodes, "node")
+    for i, (w_self, w_neigh, activation) in enumerate(layers):
+        width = len(w_self[0])
+        block = sampled.where(F.col("hop") <= len(layers) - i).select("batch", "src", "dst")
+        sent = block.join(now.withColumnRenamed("node", "src"), ["batch", "src"])
+        mean = sent.groupBy("batch", F.col("dst").alias("node")).agg(V.mean_of("x", width).alias("m"))
+        both = now.join(mean, ["batch", "node"], "left").withColumn("m", F.coalesce("m", V.literal([0.0] * width)))
+        out = V.add(V.matvec(V.literal(w_self), F.col("x")), V.matvec(V.literal(w_neigh), F.col("m")))
+        now = cut(both.select("batch", "node", ACTIVATIONS[activation](out).alias("x")))
+    return now.join(batch_rows.select("batch", "node"), ["batch", "node"], "left_semi")
+
+
 def mean_loss(scores: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: n and the mean cross-entropy of the labelled nodes."""
     own = F.element_at(V.log_softmax(F.col("x")), (F.col("label") + 1).cast("int"))

@@ -59,10 +59,10 @@ def load(spark: SparkSession, path: str, name: str, part: int | None = None) ->
     return rows if part is None else rows.where(F.col("part") == part)
 
 
-def schedule(done: Partitioned, epochs: int) -> DataFrame:
-    """(step, epoch, part): the same path in each epoch."""
-    n = done.manifest.count()  # one row a part
-    each = done.manifest.select("part", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("epoch"))
+def schedule(manifest: DataFrame, epochs: int) -> DataFrame:
+    """(step, epoch, part) from (part, seq): the same path in each epoch."""
+    n = manifest.count()  # one row a part
+    each = manifest.select("part", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("epoch"))
     return each.select((F.col("epoch") * n + F.col("seq")).alias("step"), "epoch", "part")
 
 

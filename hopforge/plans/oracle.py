@@ -118,6 +118,23 @@ CTE["r2"] = "SELECT node, dim, greatest(0, bn.val) + r0.val AS val FROM bn JOIN
 CTE["r3"] = "SELECT node, dim, val FROM r0 UNION ALL SELECT node, dim + 4, val FROM r2"
 
 
+# Evaluation over sampled neighbours.
+CTE["evals"] = "SELECT place // 16 AS batch, place % 16 AS occ, node FROM (SELECT node, row_number() OVER (ORDER BY md5('42|0|' || node), node) - 1 AS place FROM split_ WHERE split <> 'train')"
+_DRAWN = "SELECT * FROM (SELECT batch, {h}::BIGINT AS hop, occ, row_number() OVER (PARTITION BY batch, occ ORDER BY md5('42|' || batch || '|{h}|' || occ || '|' || src), src) AS k, src, dst FROM {f} JOIN mid ON dst = node) WHERE k <= 3"
+CTE["ev1"] = _DRAWN.format(h=1, f="evals")
+CTE["evf"] = "SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY occ, k) - 1 AS occ, src AS node FROM ev1"
+CTE["ev2"] = _DRAWN.format(h=2, f="evf")
+CTE["evx"] = "SELECT batch, node, dim, val FROM (SELECT batch, node FROM evals UNION SELECT batch, src FROM ev1 UNION SELECT batch, src FROM ev2) JOIN x0 USING (node)"
+CTE["evm"] = "SELECT e.batch, dst AS node, dim, avg(val) AS val FROM (SELECT batch, src, dst FROM ev1 UNION ALL SELECT batch, src, dst FROM ev2) e JOIN evx x ON x.batch = e.batch AND x.node = src GROUP BY e.batch, dst, dim"
+CTE["evh"] = "SELECT batch, node, i AS dim, greatest(0, sum(v)) AS val FROM (SELECT batch, node, i, val * w AS v FROM evx JOIN ws1 ON dim = j UNION ALL SELECT batch, node, i, val * w FROM evm JOIN wn1 ON dim = j) GROUP BY batch, node, i"
+CTE["evn"] = "SELECT e.batch, dst AS node, dim, avg(val) AS val FROM ev1 e JOIN evh x ON x.batch = e.batch AND x.node = src GROUP BY e.batch, dst, dim"
+CTE["evs"] = "SELECT s.node, i AS dim, sum(v) AS val FROM (SELECT batch, node, i, val * w AS v FROM evh JOIN ws2 ON dim = j UNION ALL SELECT batch, node, i, val * w FROM evn JOIN wn2 ON dim = j) s JOIN evals USING (batch, node) GROUP BY s.node, i"
+CTE["evp"] = "SELECT node, min(dim) AS pred FROM (SELECT *, max(round(val, 9)) OVER (PARTITION BY node) AS top FROM evs) WHERE round(val, 9) = top GROUP BY node"
+# Cheapest and dearest part.
+CTE["cheap"] = "SELECT part FROM sizes ORDER BY n, part LIMIT 1"
+CTE["dear"] = "SELECT part FROM sizes WHERE part <> (SELECT part FROM cheap) ORDER BY n DESC, part LIMIT 1"
+
+
 def sql(final: str, **names: str) -> str:
     """The statement with all expressions it needs before it, each worked out once."""
     needed: list[str] = []
@@ -151,6 +168,16 @@ ORACLE: dict[str, str] = {
     "value_propagation": sql("SELECT node, value FROM v3"),
     "value_rank_in_part": sql("SELECT part, node, value, rank FROM ranked"),
     "merge_cost_pairs": sql("SELECT a.part AS a, b.part AS b, a.n + b.n - coalesce(o.n, 0) AS n_union, coalesce(o.n, 0) AS n_both, round(((a.n + b.n - coalesce(o.n, 0)) * ((SELECT count(*) FROM edges) / (SELECT count(*) FROM nodes)) + (a.n + b.n - coalesce(o.n, 0)) * 100) * 4 / 1048576, 6) AS cost FROM sizes a JOIN sizes b ON a.part < b.part LEFT JOIN both_ o ON o.i = a.part AND o.j = b.part"),
+    "merge_plan_whole": sql("SELECT part, 0::BIGINT AS merged_part, 4::BIGINT AS weight FROM sizes"),
+    "merge_plan_refused": sql("SELECT part, part AS merged_part, CASE WHEN part IN (SELECT part FROM cheap UNION ALL SELECT part FROM dear) THEN 3 ELSE 1 END::BIGINT AS weight FROM sizes"),
+    "partition_job": sql("SELECT 0::BIGINT AS part, (SELECT count(DISTINCT node) FROM members) AS n_nodes, (SELECT count(*) FROM edges WHERE dst IN (SELECT node FROM members WHERE hop < 3)) + (SELECT count(*) FROM seeds) AS n_edges, 0::BIGINT AS seq"),
+    "partition_job_seeds": sql("SELECT 0::BIGINT AS part, node FROM seeds"),
+    "value_rank_local": sql("SELECT part, rank, lid FROM ranked JOIN ids USING (part, node)"),
+    "epoch_schedule": sql("SELECT epoch * 4 + seq AS step, epoch, part FROM turns, (SELECT unnest(range(3)) AS epoch)"),
+    "batch_gather_by_slot": sql("SELECT batch, lid, label AS value FROM mapping JOIN feats USING (node)"),
+    "gcn_log_softmax": sql(_ENTRIES.format(keys="node", rows="SELECT node, dim, val - top - ln(sum(exp(val - top)) OVER (PARTITION BY node)) AS val FROM (SELECT *, max(val) OVER (PARTITION BY node) AS top FROM c2)")),
+    "sampled_scores": sql(_ENTRIES.format(keys="node", rows="SELECT * FROM evs")),
+    "sampled_accuracy": sql("SELECT split, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM evp JOIN feats USING (node) JOIN split_ USING (node) GROUP BY split"),
     "merged_boundary": sql("SELECT part // 2 * 2 AS part, node, min(hop) AS hop, bool_and(hop = 3) AS is_boundary FROM members GROUP BY part // 2 * 2, node"),
     "induced_edges": sql("SELECT part, src, dst FROM kept"),
     "self_loops": sql("SELECT part, node AS src, node AS dst FROM seeds"),

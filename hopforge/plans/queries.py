@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hopforge.operators import budget, cluster, degrees, delta, layers, linkpred, merge, order, propagate, sampler, subgraph, tiers, training
 from hopforge.plans import fixtures as fx
+from hopforge.plans import jobs
 from hopforge.plans.lineage import cut
 from hopforge.plans.placement import placed
 from hopforge.sources.binary import feature_range, params_table, slice_bounds, synthetic_dataset
@@ -107,6 +108,13 @@ def value_rank_in_part(s, d):
     return subgraph.ranked_by_value(members, propagate.values(edges, fx.nodes(s, d), fx.seeds(s, d)))
 
 
+@query
+def value_rank_local(s, d):
+    edges, members = _members(s, d)
+    ranked = subgraph.ranked_by_value(members, propagate.values(edges, fx.nodes(s, d), fx.seeds(s, d)))
+    return subgraph.ranked_local(ranked, subgraph.local_ids(members))
+
+
 @query
 def merge_cost_pairs(s, d):
     edges, members = _members(s, d)
@@ -120,6 +128,32 @@ def merge_plan(s, d):
     return merge.merge_plan(members, edges.count() / fx.nodes(s, d).count())
 
 
+@query
+def merge_plan_whole(s, d):
+    """Without a ceiling that binds four parts become one."""
+    members = _members(s, d)[1]
+    return merge.merge_plan(members, 5.0)
+
+
+@query
+def merge_plan_refused(s, d):
+    """With a ceiling of nothing the cheapest and the dearest part are tried and refused at each level."""
+    members = _members(s, d)[1]
+    return merge.merge_plan(members, 5.0, ceiling=0.0)
+
+
+@query
+def partition_job(s, d):
+    """The manifest of the whole job; no ceiling binds, so it ends with one part."""
+    return jobs.partition(fx.edges(s, d), fx.nodes(s, d), fx.seeds(s, d).select("node"), fx.PARTS).manifest.select("part", "n_nodes", "n_edges", "seq")
+
+
+@query
+def partition_job_seeds(s, d):
+    """Training ids of the job's merged parts."""
+    return jobs.partition(fx.edges(s, d), fx.nodes(s, d), fx.seeds(s, d).select("node"), fx.PARTS).seeds.select("part", "node")
+
+
 @query
 def merged_boundary(s, d):
     members = _members(s, d)[1]
@@ -215,6 +249,11 @@ def visit_order(s, d):
     return order.visit_order(_members(s, d)[1])
 
 
+@query
+def epoch_schedule(s, d):
+    return jobs.schedule(order.visit_order(_members(s, d)[1]), 3)
+
+
 def _steps(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     members = _members(s, d)[1]
     return cut(subgraph.local_ids(members)), delta.steps(order.visit_order(members))
@@ -359,6 +398,13 @@ def batch_features(s, d):
     return found.select("batch", "lid", "node", F.posexplode("feat").alias("dim", "val")).withColumn("dim", F.col("dim").cast("long")).withColumn("val", F.round(F.col("val").cast("double"), 6))
 
 
+@query
+def batch_gather_by_slot(s, d):
+    slots = fx.nodes(s, d).select("node", (2 * F.col("node") + 1).alias("slot"))
+    store = fx.features(s, d).select((2 * F.col("node") + 1).alias("slot"), F.col("label").alias("value"))
+    return sampler.gather_by_slot(sampler.remap(*_sampled(s, d)), slots, store)
+
+
 @query
 def range_feature_scan(s, d):
     n = fx.nodes(s, d).count()
@@ -436,6 +482,34 @@ def gcn_inference(s, d):
     return _entries(layers.inference(fx.vectors(s, d), steps))
 
 
+@query
+def gcn_log_softmax(s, d):
+    """Two normalised-sum layers that end in log-probabilities."""
+    w, edges = layers.fixed_weights, placed(fx.edges(s, d, "mid"), "src")
+    steps = [lambda x: layers.gcn(edges, x, w(8, 64), "relu"), lambda x: layers.gcn(edges, x, w(4, 8, 1), "log_softmax")]
+    return _entries(layers.inference(fx.vectors(s, d), steps))
+
+
+def _evaluated(s: SparkSession, d: str) -> DataFrame:
+    """(node, x): scores of the nodes to evaluate, over sampled neighbours."""
+    w = layers.fixed_weights
+    chosen = fx.splits(s, d).where("split <> 'train'").select("node", F.lit(0).cast("long").alias("part"))
+    rows = cut(sampler.batches(chosen, BATCH))
+    drawn = sampler.sample(fx.edges(s, d, "mid"), rows, FANOUTS[:2])
+    return layers.sampled_scores(rows, drawn, fx.vectors(s, d), [(w(8, 64), w(8, 64, 5), "relu"), (w(10, 8, 1), w(10, 8, 6), "none")])
+
+
+@query
+def sampled_scores(s, d):
+    return _entries(_evaluated(s, d))
+
+
+@query
+def sampled_accuracy(s, d):
+    found = layers.predictions(_evaluated(s, d).select("node", F.transform("x", lambda x: F.round(x, 9)).alias("x")))
+    return layers.accuracy(found, fx.features(s, d).select("node", "label"), fx.splits(s, d))
+
+
 GAT_LAST = [(layers.fixed_weights(4, 8, 2), layers.fixed_weights(1, 4, 6)[0], layers.fixed_weights(1, 4, 7)[0])]
 
 

@@ -197,7 +197,7 @@ def test_whole_job(spark, tmp_path):
     assert sorted(r.seq for r in manifest) == list(range(len(manifest)))
     assert spark.read.parquet(str(tmp_path / "out/edges")).count() == sum(r.n_edges for r in manifest)
     assert jobs.load(spark, str(tmp_path / "out"), "ids", 0).count() == manifest[[r.part for r in manifest].index(0)].n_nodes
-    assert jobs.schedule(done, 2).count() == 2 * len(manifest)
+    assert jobs.schedule(done.manifest, 2).count() == 2 * len(manifest)
     batch, drawn, ids = jobs.batch_tables(done, [2, 2], 4)
     assert ids.join(batch, ["batch", "node"]).where("lid <> pos").count() == 0
     assert drawn.groupBy("batch", "hop", "occ").count().where("count > 2").count() == 0
