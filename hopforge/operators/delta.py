@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopforge.functions.ordering import numbered
+from hopforge.plans.lineage import cut
 
 
 def steps(order: DataFrame) -> DataFrame:
@@ -61,3 +62,33 @@ def next_slots(slots: DataFrame, same_nodes: DataFrame, pairs: DataFrame) -> Dat
     """
     moves = same_nodes.select("prev_pos", "next_pos").unionByName(pairs.select("prev_pos", "next_pos"))
     return moves.join(slots.withColumnRenamed("lid", "prev_pos"), "prev_pos").select(F.col("next_pos").alias("lid"), "slot")
+
+
+def slot_cycle(ids: DataFrame, order: DataFrame) -> DataFrame:
+    """(from_part, to_part, lid, slot): the slot maps after each step of one cycle of the visiting order.
+
+    The first part's places are its slots. A map is as long as the longest
+    part, and each step reads the one before it.
+    """
+    step = steps(order)
+    moves = cut(same(ids, step).drop("node").unionByName(pairing(ids, step).drop("k")))
+    slots, out = None, None
+    for row in order.orderBy("seq").collect():  # one row a part
+        here = moves.where(F.col("from_part") == row["part"])
+        if slots is None:
+            now = here.withColumn("slot", F.col("prev_pos"))
+        else:
+            now = here.join(slots, "prev_pos")
+        now = cut(now.select("from_part", "to_part", F.col("next_pos").alias("lid"), "slot"))
+        out = now if out is None else out.unionByName(now)
+        slots = now.select(F.col("lid").alias("prev_pos"), "slot")
+    return out
+
+
+def carried(held: DataFrame | None, ids: DataFrame, features: DataFrame) -> DataFrame:
+    """The feature rows of the nodes of ids: those in ``held`` are kept, and only the others are looked up in features."""
+    wanted = ids.select("node").distinct()
+    if held is None:
+        return features.join(wanted, "node", "left_semi")
+    fresh = wanted.join(held, "node", "left_anti")
+    return held.join(wanted, "node", "left_semi").unionByName(features.join(fresh, "node", "left_semi").select(*held.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,12 @@ def tier_init(kept: DataFrame) -> DataFrame:
     return numbered(kept.select("part", "node", "kept"), ["part", "kept"], ["node"], "k").select("part", "node", F.when(F.col("kept"), k).otherwise(-k).alias("slot"))
 
 
-def tier_write(rows: DataFrame, updates: DataFrame) -> DataFrame:
-    """(slot, value): rows with those of updates in their place; each slot's sign is its tier."""
-    return rows.join(updates.select("slot"), "slot", "left_anti").unionByName(updates.select(*rows.columns))
+def tier_write(rows: DataFrame, updates: DataFrame, by: Sequence[str] = ("slot",)) -> DataFrame:
+    """(slot, value): rows with those of updates in their place; each slot's sign is its tier.
+
+    With ``by`` of part and slot all parts are written at once.
+    """
+    return rows.join(updates.select(*by), list(by), "left_anti").unionByName(updates.select(*rows.columns))
 
 
 def tier_swap(slots: DataFrame, wanted: DataFrame) -> DataFrame:

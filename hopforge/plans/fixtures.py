@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from hopforge.plans.lineage import cut
 
-#: One part in so many is a seed; seeds are dealt over PARTS parts. Nodes share VECTORS feature rows.
-EVERY, PARTS, VECTORS = 20, 4, 500
+#: One part in so many is a seed; seeds are dealt over PARTS parts.
+EVERY, PARTS = 20, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,9 @@ def seeds(spark: SparkSession, sf_dir: str, parts: int = PARTS) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, feat, label)."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < VECTORS)
-    return nodes(spark, sf_dir).join(rows, F.col("node") % VECTORS == F.col("vec_id")).select("node", F.col("embedding").alias("feat"), F.col("label").cast("long").alias("label"))
+    """(node, feat, label): nodes are dealt over all embeddings, whose ids are dense from 0."""
+    rows = table(spark, sf_dir, "embeddings")
+    return nodes(spark, sf_dir).join(rows, F.col("node") % max(1, rows.count()) == F.col("vec_id")).select("node", F.col("embedding").alias("feat"), F.col("label").cast("long").alias("label"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ CTE: dict[str, str] = {
     "alls": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey",
     "nodes": "SELECT p_partkey AS node FROM part",
     "seeds": "SELECT p_partkey AS node, (p_partkey // 20) % 4 AS part FROM part WHERE p_partkey % 20 = 0",
-    "feats": "SELECT p_partkey AS node, embedding AS feat, label::BIGINT AS label FROM part JOIN embeddings ON p_partkey % 500 = vec_id",
+    "feats": "SELECT p_partkey AS node, embedding AS feat, label::BIGINT AS label FROM part JOIN embeddings ON p_partkey % (SELECT count(*) FROM embeddings) = vec_id",
     # Reachability, one expression a hop.
     "m0": "SELECT part, node FROM seeds",
     "m1": "SELECT DISTINCT part, src AS node FROM m0 JOIN edges ON dst = node EXCEPT SELECT * FROM m0",
@@ -130,6 +130,11 @@ CTE["evh"] = "SELECT batch, node, i AS dim, greatest(0, sum(v)) AS val FROM (SEL
 CTE["evn"] = "SELECT e.batch, dst AS node, dim, avg(val) AS val FROM ev1 e JOIN evh x ON x.batch = e.batch AND x.node = src GROUP BY e.batch, dst, dim"
 CTE["evs"] = "SELECT s.node, i AS dim, sum(v) AS val FROM (SELECT batch, node, i, val * w AS v FROM evh JOIN ws2 ON dim = j UNION ALL SELECT batch, node, i, val * w FROM evn JOIN wn2 ON dim = j) s JOIN evals USING (batch, node) GROUP BY s.node, i"
 CTE["evp"] = "SELECT node, min(dim) AS pred FROM (SELECT *, max(round(val, 9)) OVER (PARTITION BY node) AS top FROM evs) WHERE round(val, 9) = top GROUP BY node"
+# Slot maps along the visiting order.
+CTE["moves"] = "SELECT seq, x.* FROM (SELECT from_part, to_part, prev_pos, next_pos FROM same_ UNION ALL SELECT from_part, to_part, prev_pos, next_pos FROM pairs) x JOIN turns ON part = from_part"
+CTE["lap0"] = "SELECT from_part, to_part, next_pos AS lid, prev_pos AS slot FROM moves WHERE seq = 0"
+for _h in (1, 2, 3):
+    CTE[f"lap{_h}"] = f"SELECT m.from_part, m.to_part, next_pos AS lid, y.slot FROM moves m JOIN lap{_h - 1} y ON y.lid = prev_pos WHERE seq = {_h}"
 # Cheapest and dearest part.
 CTE["cheap"] = "SELECT part FROM sizes ORDER BY n, part LIMIT 1"
 CTE["dear"] = "SELECT part FROM sizes WHERE part <> (SELECT part FROM cheap) ORDER BY n DESC, part LIMIT 1"
@@ -196,12 +201,13 @@ ORACLE: dict[str, str] = {
     "delta_diff": sql("SELECT from_part, to_part, k, prev_pos, next_pos FROM pairs"),
     "delta_added": sql("SELECT from_part, to_part, node, next_pos FROM added_"),
     "delta_added_features": sql(f"SELECT from_part, to_part, node, {_FEAT} FROM added_ JOIN feats USING (node)"),
-    "slot_map_step": sql("SELECT next_pos AS lid, prev_pos AS slot FROM (SELECT from_part, prev_pos, next_pos FROM same_ UNION ALL SELECT from_part, prev_pos, next_pos FROM pairs) WHERE from_part = 0"),
+    "slot_map_step": sql("SELECT * FROM lap0 UNION ALL SELECT * FROM lap1 UNION ALL SELECT * FROM lap2 UNION ALL SELECT * FROM lap3"),
+    "incremental_load": sql("SELECT part, lid, node, label FROM ids JOIN feats USING (node)"),
     "memory_budget": sql("SELECT part, (e + n + 1) * 4 + n * 64 * 4 + n * 8 AS bytes, (e + n + 1) * 4 + n * 64 * 4 + n * 8 > 60000 AS trims FROM sizes JOIN (SELECT part, count(*) AS e FROM kept GROUP BY part) USING (part)"),
     "trim_nodes": sql("SELECT part, node, kept FROM trimmed"),
     "trim_degree": sql("SELECT dst, count(*) AS deg, sum(src)::BIGINT AS src_sum FROM (SELECT src, dst, count(*) OVER (PARTITION BY dst) AS deg, row_number() OVER (PARTITION BY dst ORDER BY md5('42|0|' || dst || '|' || src), src) AS lot FROM alls WHERE dst % 5 <> 0) WHERE deg < 60 OR lot <= floor(deg * 0.5) GROUP BY dst"),
     "tier_init": sql("SELECT part, node, slot FROM slots"),
-    "tier_write": sql("SELECT slot, CASE WHEN slot % 3 = 0 THEN -node ELSE node END AS value FROM slots WHERE part = 0"),
+    "tier_write": sql("SELECT part, slot, CASE WHEN slot % 3 = 0 THEN -node ELSE node END AS value FROM slots"),
     "tier_swap": sql("SELECT s.part, s.node, coalesce(a.ds, b.us, s.slot) AS slot FROM slots s LEFT JOIN swaps a ON a.part = s.part AND a.un = s.node LEFT JOIN swaps b ON b.part = s.part AND b.dn = s.node"),
     "batch_assign": sql("SELECT batch, part, pos, node FROM batches"),
     "sample_hop1": sql("SELECT * FROM s1"),

@@ -282,11 +282,22 @@ def delta_added_features(s, d):
 
 @query
 def slot_map_step(s, d):
-    ids, step = _steps(s, d)
-    first = step.orderBy("from_part", "to_part").limit(1)  # one step of the cycle
-    longest = ids.groupBy("part").count().agg(F.max("count")).first()[0]
-    start = s.range(longest).select(F.col("id").alias("lid"), F.col("id").alias("slot"))
-    return delta.next_slots(start, delta.same(ids, first), delta.pairing(ids, first)).select("lid", "slot")
+    """The slot maps of all steps of the cycle."""
+    members = _members(s, d)[1]
+    return delta.slot_cycle(cut(subgraph.local_ids(members)), cut(order.visit_order(members)))
+
+
+@query
+def incremental_load(s, d):
+    """Labels by part along the visiting order; each part looks up only what the one before it didn't hold."""
+    members = _members(s, d)[1]
+    ids, known, held, out = cut(subgraph.local_ids(members)), fx.features(s, d).select("node", "label"), None, None
+    for row in order.visit_order(members).orderBy("seq").collect():
+        here = ids.where(F.col("part") == row["part"])
+        held = cut(delta.carried(held, here, known))
+        rows = subgraph.gathered(here, held).select("part", "lid", "node", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query
@@ -330,10 +341,10 @@ def tier_init(s, d):
 
 @query
 def tier_write(s, d):
-    slots = cut(tiers.tier_init(_trimmed(s, d)[2]).where("part = 0"))
-    rows = slots.select("slot", F.col("node").alias("value"))
-    updates = slots.where("slot % 3 = 0").select("slot", (-F.col("node")).alias("value"))
-    return tiers.tier_write(rows, updates)
+    slots = cut(tiers.tier_init(_trimmed(s, d)[2]))
+    rows = slots.select("part", "slot", F.col("node").alias("value"))
+    updates = slots.where("slot % 3 = 0").select("part", "slot", (-F.col("node")).alias("value"))
+    return tiers.tier_write(rows, updates, ["part", "slot"])
 
 
 @query
