@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.operators import cluster, merge, order, propagate, sampler, subgraph
+from hopforge.operators import cluster, delta, merge, networks, order, propagate, sampler, subgraph
 from hopforge.plans.lineage import cut
 
 
@@ -72,3 +72,31 @@ def batch_tables(done: Partitioned, fanouts: list[int], size: int, epoch: int =
     # Parts hold whole neighbourhoods, so sampling their union is sampling inside each part.
     sampled = sampler.sample(done.edges.select("src", "dst").distinct(), rows, fanouts)
     return rows, sampled, sampler.remap(rows, sampled)
+
+
+def train(done: Partitioned, features: DataFrame, net: networks.Network, fanouts: list[int], size: int, epochs: int = 1, group: int = 64, rate: float = 1e-3, decay: float = 5e-4, seed: int = 0) -> tuple[networks.Network, list[float]]:
+    """(network, mean loss of each epoch): minibatch training along the schedule of the parts.
+
+    features is (node, x, label) and covers all nodes. Each turn takes one
+    part: it keeps the feature rows that the part before held, looks up the
+    others, samples the part's batches and takes a step for each ``group`` of
+    them, which is how many batches work at once; the sampled tables of a part
+    are read once a group.
+    """
+    turns = schedule(done.manifest, epochs).orderBy("step").collect()  # one row a part and epoch
+    adam, held, totals = networks.Adam(rate, decay), None, [[0.0, 0] for _ in range(epochs)]
+    for turn in turns:
+        here = F.col("part") == turn["part"]
+        members = done.members.where(here)
+        held = cut(delta.carried(held, members, features))
+        rows = cut(sampler.batches(done.seeds.where(here), size, epoch=turn["epoch"]))
+        drawn = sampler.sample(done.edges.where(here).select("src", "dst").distinct(), rows, fanouts)
+        inputs = [cut(t) for t in networks.batch_inputs(rows, drawn, sampler.remap(rows, drawn), held)]
+        n_batches = rows.select("batch").distinct().count()
+        for first in range(0, n_batches, group):
+            at = turn["part"] * sampler.PER_PART + first
+            edges, nodes = (t.where(F.col("batch").between(at, at + group - 1)) for t in inputs)
+            net, loss, n = networks.step(net, adam, edges, nodes, seed + turn["step"])
+            totals[turn["epoch"]][0] += loss
+            totals[turn["epoch"]][1] += n
+    return net, [loss / max(1, n) for loss, n in totals]

@@ -183,6 +183,7 @@ ORACLE: dict[str, str] = {
     "gcn_log_softmax": sql(_ENTRIES.format(keys="node", rows="SELECT node, dim, val - top - ln(sum(exp(val - top)) OVER (PARTITION BY node)) AS val FROM (SELECT *, max(val) OVER (PARTITION BY node) AS top FROM c2)")),
     "sampled_scores": sql(_ENTRIES.format(keys="node", rows="SELECT * FROM evs")),
     "sampled_accuracy": sql("SELECT split, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM evp JOIN feats USING (node) JOIN split_ USING (node) GROUP BY split"),
+    "sampled_loss": sql("SELECT count(*) AS n, round(avg(-own), 6) AS loss FROM (SELECT node, max(val) FILTER (WHERE dim = label) - max(top) - ln(sum(exp(val - top))) AS own FROM (SELECT *, max(val) OVER (PARTITION BY node) AS top FROM evs) JOIN feats USING (node) GROUP BY node)"),
     "merged_boundary": sql("SELECT part // 2 * 2 AS part, node, min(hop) AS hop, bool_and(hop = 3) AS is_boundary FROM members GROUP BY part // 2 * 2, node"),
     "induced_edges": sql("SELECT part, src, dst FROM kept"),
     "self_loops": sql("SELECT part, node AS src, node AS dst FROM seeds"),

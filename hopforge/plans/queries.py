@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopforge.operators import budget, cluster, degrees, delta, layers, linkpred, merge, order, propagate, sampler, subgraph, tiers, training
+from hopforge.operators import budget, cluster, degrees, delta, layers, linkpred, merge, networks, order, propagate, sampler, subgraph, tiers, training
 from hopforge.plans import fixtures as fx
 from hopforge.plans import jobs
 from hopforge.plans.lineage import cut
@@ -501,12 +501,17 @@ def gcn_log_softmax(s, d):
     return _entries(layers.inference(fx.vectors(s, d), steps))
 
 
+def _evaluation(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Batches of the nodes to evaluate and their sampled edges."""
+    chosen = fx.splits(s, d).where("split <> 'train'").select("node", F.lit(0).cast("long").alias("part"))
+    rows = cut(sampler.batches(chosen, BATCH))
+    return rows, sampler.sample(fx.edges(s, d, "mid"), rows, FANOUTS[:2])
+
+
 def _evaluated(s: SparkSession, d: str) -> DataFrame:
     """(node, x): scores of the nodes to evaluate, over sampled neighbours."""
     w = layers.fixed_weights
-    chosen = fx.splits(s, d).where("split <> 'train'").select("node", F.lit(0).cast("long").alias("part"))
-    rows = cut(sampler.batches(chosen, BATCH))
-    drawn = sampler.sample(fx.edges(s, d, "mid"), rows, FANOUTS[:2])
+    rows, drawn = _evaluation(s, d)
     return layers.sampled_scores(rows, drawn, fx.vectors(s, d), [(w(8, 64), w(8, 64, 5), "relu"), (w(10, 8, 1), w(10, 8, 6), "none")])
 
 
@@ -567,6 +572,40 @@ def train_sage_network(s, d):
     return s.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch long, loss double")
 
 
+def _trained(s: SparkSession, d: str, net: networks.Network) -> DataFrame:
+    """(epoch, loss) of training over the parts of the whole job."""
+    done = jobs.partition(fx.edges(s, d), fx.nodes(s, d), fx.seeds(s, d).select("node"), fx.PARTS, ceiling=0.0)
+    known = cut(fx.features(s, d).select("node", F.col("feat").cast("array<double>").alias("x"), "label"))
+    _, losses = jobs.train(done, known, net, list(FANOUTS[:2]), BATCH, epochs=2, rate=0.02)
+    return s.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch long, loss double")
+
+
+@query
+def train_sage_batches(s, d):
+    return _trained(s, d, networks.network("sage", [64, 16, 10]))
+
+
+@query
+def train_gcn_batches(s, d):
+    return _trained(s, d, networks.network("gcn", [64, 16, 10], drop=0.1))
+
+
+@query
+def train_gat_batches(s, d):
+    return _trained(s, d, networks.network("gat", [64, 8, 10], heads=(4, 1), drop=0.1, drop_attention=0.1))
+
+
+@query
+def sampled_loss(s, d):
+    """The mean loss of the nodes to evaluate, by the networks that train on blocks, at fixed weights."""
+    w = lambda *a: networks.np.array(layers.fixed_weights(*a))
+    net = networks.Network("sage", [[w(8, 64), w(8, 64, 5)], [w(10, 8, 1), w(10, 8, 6)]])
+    rows, drawn = _evaluation(s, d)
+    known = fx.features(s, d).select("node", F.col("feat").cast("array<double>").alias("x"), "label")
+    found = networks.batch_gradients(net, *networks.batch_inputs(rows, drawn, sampler.remap(rows, drawn), known))
+    return found.agg(F.sum("n").alias("n"), F.round(F.sum("loss") / F.sum("n"), 6).alias("loss"))
+
+
 @query
 def lp_split(s, d):
     return linkpred.lp_split(fx.edges(s, d, "mid"), 0.2)

@@ -7,6 +7,7 @@ from hopforge.plans.oracle import ORACLE
 from hopforge.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
+TRAINING = ("train_softmax_head", "train_sage_network", "train_sage_batches", "train_gcn_batches", "train_gat_batches")
 
 
 @pytest.fixture(scope="module")
@@ -27,10 +28,10 @@ def test_same_as_sql(spark, duck, name):
     assert same(got).equals(same(want))
 
 
-def test_losses_fall(spark):
-    for name in ("train_softmax_head", "train_sage_network"):
-        losses = [r.loss for r in QUERIES[name](spark, DATA).orderBy("epoch").collect()]
-        assert losses[-1] < losses[0]
+@pytest.mark.parametrize("name", ["train_softmax_head", "train_sage_network", "train_gcn_batches"])
+def test_losses_fall(spark, name):
+    losses = [r.loss for r in QUERIES[name](spark, DATA).orderBy("epoch").collect()]
+    assert losses[-1] < losses[0]
 
 
 def test_merge_plan_weights(spark):
@@ -40,4 +41,4 @@ def test_merge_plan_weights(spark):
 
 
 def test_all_but_rows_only_have_sql():
-    assert set(QUERIES) - set(ORACLE) == {"merge_plan", "train_softmax_head", "train_sage_network"}
+    assert set(QUERIES) - set(ORACLE) == {"merge_plan", *TRAINING}
