@@ -23,7 +23,10 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
-TAG = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
+#: What may stand inside a tag: whole string literals, so that a tag's end inside one doesn't count, and other characters.
+INSIDE = r"""(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^"'])*?"""
+#: The last two take tags with an open quote, which the expression's parser refuses.
+TAG = re.compile(rf"(\{{\{{{INSIDE}\}}\}}|\{{%{INSIDE}%\}}|\{{#.*?#\}}|\{{\{{.*?\}}\}}|\{{%.*?%\}})", re.S)
 TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>~+|.()\[\],=]))""", re.S)
 WORDS = {"true": True, "false": False, "none": None}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}

@@ -28,6 +28,9 @@ def render(source, **names):
         ("{{ 'x' in 'xyz' and 3 > 2 and not false }}", {}, "True"),
         ("{{ xs[1] }}{{ xs[9] }}{{ missing.a.b }}", {"xs": ["p", "q"]}, "q"),
         (r"{{ 'it\'s\n' }}", {}, "it's\n"),
+        ("{{ '}}' }}{{ \"%}\" ~ '{{' }}", {}, "}}%}{{"),
+        ("{% if x == '%}' %}a{% endif %}{% set y = '-}}' -%} {{ y }}", {"x": "%}"}, "a-}}"),
+        ("it's {{ x }} and it's", {"x": "so"}, "it's so and it's"),
     ],
 )
 def test_language(source, names, want):
@@ -42,7 +45,7 @@ def test_sandbox_sees_no_attributes(source):
         pass
 
 
-@pytest.mark.parametrize("source", ["{{ __import__ }}", "{% import os %}", "{{ f(1) }}", "{{ x | eval }}", "{% for x in y %}", "{{ 1 + }}", "{% if %}{% endif %}", "{{ a ; b }}", "{{ 'open }}"])
+@pytest.mark.parametrize("source", ["{{ __import__ }}", "{% import os %}", "{{ f(1) }}", "{{ x | eval }}", "{% for x in y %}", "{{ 1 + }}", "{% if %}{% endif %}", "{{ a ; b }}", "{{ 'open }}", "{{ 'open }} {{ x }}", "{% if 'open %}{% endif %}"])
 def test_refused(source):
     with pytest.raises(TemplateError):
         Template(source)
