@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopforge.functions.ordering import draw, global_rank, shuffled
@@ -25,3 +25,21 @@ def lp_negatives(split: DataFrame, n_nodes: int, per_edge: int, seed: int = 42)
     wanted = F.when(F.col("split") == "train", 1).otherwise(per_edge)
     each = split.select("*", F.explode(F.sequence(F.lit(1).cast("long"), wanted.cast("long"))).alias("k"))
     return each.withColumn("neg_dst", draw(n_nodes, F.lit(seed), "src", "dst", "k"))
+
+
+def split_rows(negatives: DataFrame) -> DataFrame:
+    """(split, source_node, target_node, target_node_neg): a row an edge, its negatives in the order of k."""
+    held = F.sort_array(F.collect_list(F.struct("k", "neg_dst")))
+    rows = negatives.groupBy("split", F.col("src").alias("source_node"), F.col("dst").alias("target_node")).agg(held.alias("drawn"))
+    return rows.select("split", "source_node", "target_node", F.col("drawn.neg_dst").alias("target_node_neg"))
+
+
+def write_splits(rows: DataFrame, path: str) -> None:
+    """Write the table of split_rows, a folder a split."""
+    rows.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """A written table of splits, or one split of it: only that folder is read."""
+    rows = spark.read.parquet(path)
+    return rows if split is None else rows.where(F.col("split") == split)

@@ -78,9 +78,10 @@ def _weights(name: str, rows: int, columns: int, salt: int = 0) -> None:
     CTE[name] = f"SELECT * FROM (VALUES {listed}) t(i, j, w)"
 
 
-for _name, *_shape in (("ws0", 4, 64), ("wn0", 4, 64, 5), ("ws1", 8, 64), ("wn1", 8, 64, 5), ("ws2", 10, 8, 1), ("wn2", 10, 8, 6), ("wg0", 4, 64, 0), ("wg1", 4, 64, 3)):
+for _name, *_shape in (("ws0", 4, 64), ("wn0", 4, 64, 5), ("ws1", 8, 64), ("wn1", 8, 64, 5), ("ws2", 10, 8, 1), ("wn2", 10, 8, 6)):
     _weights(_name, *_shape)
-for _h, _salt in ((0, 0), (1, 3)):
+for _h, _salt in (*((str(i), salt) for i, salt in ((0, 0), (1, 3))), *((f"h{i}", i) for i in range(8))):
+    _weights(f"wg{_h}", 4, 64, _salt)
     _listed = ", ".join(f"({j}::BIGINT, {a}::DOUBLE, {b}::DOUBLE)" for j, (a, b) in enumerate(zip(fixed_weights(1, 4, _salt + 1)[0], fixed_weights(1, 4, _salt + 2)[0], strict=True)))
     CTE[f"att{_h}"] = f"SELECT * FROM (VALUES {_listed}) t(j, a, b)"
     CTE[f"z{_h}"] = f"SELECT node, i AS dim, sum(val * w) AS val FROM x0 JOIN wg{_h} ON dim = j GROUP BY node, i"
@@ -184,6 +185,8 @@ ORACLE: dict[str, str] = {
     "sampled_scores": sql(_ENTRIES.format(keys="node", rows="SELECT * FROM evs")),
     "sampled_accuracy": sql("SELECT split, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM evp JOIN feats USING (node) JOIN split_ USING (node) GROUP BY split"),
     "sampled_loss": sql("SELECT count(*) AS n, round(avg(-own), 6) AS loss FROM (SELECT node, max(val) FILTER (WHERE dim = label) - max(top) - ln(sum(exp(val - top))) AS own FROM (SELECT *, max(val) OVER (PARTITION BY node) AS top FROM evs) JOIN feats USING (node) GROUP BY node)"),
+    "gat_eight_heads": sql(_ENTRIES.format(keys="node", rows="SELECT node, dim, CASE WHEN val > 0 THEN val ELSE exp(val) - 1 END AS val FROM (SELECT n.node, d.dim, coalesce(a.val, 0) AS val FROM nodes n CROSS JOIN (SELECT unnest(range(32)) AS dim) d LEFT JOIN (" + " UNION ALL ".join(f"SELECT node, dim + {4 * i} AS dim, val FROM gh{i}" for i in range(8)) + ") a ON a.node = n.node AND a.dim = d.dim)")),
+    "lp_split_rows": sql("SELECT split, src AS source_node, dst AS target_node, string_agg(('0x' || substr(md5('42|' || src || '|' || dst || '|' || k), 1, 8))::BIGINT % (SELECT count(*) FROM nodes), ',' ORDER BY k) AS target_node_neg FROM (SELECT *, unnest(range(1, CASE WHEN split = 'train' THEN 2 ELSE 6 END)) AS k FROM lp) GROUP BY split, src, dst"),
     "merged_boundary": sql("SELECT part // 2 * 2 AS part, node, min(hop) AS hop, bool_and(hop = 3) AS is_boundary FROM members GROUP BY part // 2 * 2, node"),
     "induced_edges": sql("SELECT part, src, dst FROM kept"),
     "self_loops": sql("SELECT part, node AS src, node AS dst FROM seeds"),

@@ -464,6 +464,13 @@ def gat_attention_layer(s, d):
     return _entries(layers.gat(fx.edges(s, d, "mid"), fx.vectors(s, d), GAT_HEADS))
 
 
+@query
+def gat_eight_heads(s, d):
+    w = layers.fixed_weights
+    heads = [(w(4, 64, h), w(1, 4, h + 1)[0], w(1, 4, h + 2)[0]) for h in range(8)]
+    return _entries(layers.gat(fx.edges(s, d, "mid"), fx.vectors(s, d), heads, "concat", "elu"))
+
+
 def _scores(s: SparkSession, d: str) -> DataFrame:
     # Both layers join on src.
     w, edges = layers.fixed_weights, placed(fx.edges(s, d, "mid"), "src")
@@ -616,6 +623,13 @@ def lp_negatives(s, d):
     return linkpred.lp_negatives(linkpred.lp_split(fx.edges(s, d, "mid"), 0.2), fx.nodes(s, d).count(), 5)
 
 
+@query
+def lp_split_rows(s, d):
+    """A row an edge with all its negatives, as splits are written."""
+    drawn = linkpred.lp_negatives(linkpred.lp_split(fx.edges(s, d, "mid"), 0.2), fx.nodes(s, d).count(), 5)
+    return linkpred.split_rows(drawn).withColumn("target_node_neg", F.array_join(F.col("target_node_neg").cast("array<string>"), ","))
+
+
 @query
 def partition_summary(s, d):
     """Nodes, interior nodes, boundary nodes and kept edges of each part: the flagship."""

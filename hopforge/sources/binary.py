@@ -141,6 +141,24 @@ def export_file(spark: SparkSession, path: str, file: str, append: bool = False)
             out.write(chunk)
 
 
+def convert_dataset(edges: DataFrame, features: DataFrame, labels: DataFrame, splits: DataFrame, path: str) -> None:
+    """Write a dataset as column files below path: edge ends by (src, dst), features and labels by node, ids by split.
+
+    edges is (src, dst), features (node, feat), labels (node, label) and
+    splits (node, split) with train, valid and test.
+    """
+    from hopforge.functions.ordering import global_rank
+    from hopforge.plans.lineage import cut
+
+    ranked = cut(global_rank(edges.select("src", "dst"), "src", "dst"))
+    write_vectors(ranked, f"{path}/srcList", "int64", "rank", "src")
+    write_vectors(ranked, f"{path}/dstList", "int64", "rank", "dst")
+    write_vectors(features, f"{path}/feat", "float32", "node", "feat")
+    write_vectors(labels, f"{path}/labels", "int64", "node", "label")
+    for split, name in (("train", "trainIds"), ("valid", "valIDs"), ("test", "testIDs")):
+        write_vectors(splits.where(F.col("split") == split), f"{path}/{name}", "int64", "node", "node")
+
+
 def slice_ids(ids: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     """(slice, node): the half-open id range that each node falls in; nodes in none are left out."""
     found = F.lit(None).cast("long")

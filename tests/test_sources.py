@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hopforge.operators import layers, training
+from hopforge.operators import layers, linkpred, training
 from hopforge.sources import binary as B
 
 
@@ -145,3 +145,22 @@ def test_only_the_range_is_read(spark, tmp_path, monkeypatch):
     assert B.read_vectors(spark, str(tmp_path / "feat.bin"), "float32").count() == 3000
     with pytest.raises(Exception, match="whole rows"):
         B.read_vectors(spark, str(tmp_path / "feat.bin"), "float32", 7).count()
+
+
+def test_dataset_to_column_files(spark, tmp_path):
+    edges = spark.createDataFrame([(2, 0), (0, 1), (1, 2), (0, 2)], "src long, dst long")
+    features = spark.createDataFrame([(i, [i + 0.5, -i + 0.0]) for i in range(3)], "node long, feat array<float>")
+    labels = spark.createDataFrame([(2, 7), (0, 5), (1, 6)], "node long, label long")
+    splits = spark.createDataFrame([(0, "train"), (1, "test"), (2, "train")], "node long, split string")
+    B.convert_dataset(edges, features, labels, splits, str(tmp_path / "d"))
+    held = lambda name, code: np.frombuffer(b"".join(B.vector_bytes(spark, str(tmp_path / "d" / name))), code).tolist()
+    assert list(zip(held("srcList", "<i8"), held("dstList", "<i8"), strict=True)) == [(0, 1), (0, 2), (1, 2), (2, 0)]
+    assert held("feat", "<f4") == [0.5, 0.0, 1.5, -1.0, 2.5, -2.0] and held("labels", "<i8") == [5, 6, 7]
+    assert held("trainIds", "<i8") == [0, 2] and held("valIDs", "<i8") == [] and held("testIDs", "<i8") == [1]
+
+
+def test_splits_are_written_by_split(spark, tmp_path):
+    drawn = spark.createDataFrame([("test", 1, 2, 2, 9), ("test", 1, 2, 1, 8), ("train", 3, 4, 1, 7)], "split string, src long, dst long, k long, neg_dst long")
+    linkpred.write_splits(linkpred.split_rows(drawn), str(tmp_path / "s"))
+    assert [tuple(r) for r in linkpred.read_splits(spark, str(tmp_path / "s"), "test").select("source_node", "target_node", "target_node_neg").collect()] == [(1, 2, [8, 9])]
+    assert linkpred.read_splits(spark, str(tmp_path / "s")).count() == 2
