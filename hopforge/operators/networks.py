@@ -26,6 +26,9 @@ from hopforge.operators.training import Adam
 #: Slope of the attention scores below zero.
 SLOPE = 0.2
 
+#: Entries of a gradient that are added up together.
+SLICE = 4096
+
 
 @dataclass(frozen=True)
 class Network:
@@ -217,15 +220,37 @@ def batch_gradients(net: Network, edges: DataFrame, nodes: DataFrame, seed: int
     return nodes.groupBy("batch").cogroup(edges.groupBy("edge_batch")).applyInArrow(lambda k, n, e: one(k, e, n), "batch long, n long, loss double, g array<double>")
 
 
-def step(net: Network, adam: Adam, edges: DataFrame, nodes: DataFrame, seed: int | None = None) -> tuple[Network, float, int]:
-    """One step of Adam on the mean loss over all batches given: (network, summed loss, seeds).
+def added_gradients(rows: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Sums of n, loss and g over batches.
 
-    Gradients are added up entry by entry in Spark; the driver gets one row
-    per entry of the weights, whatever the number of batches.
+    Each task adds its own batches up and yields slices of SLICE entries;
+    then a slice's copies, one a task, are added up. The driver gets one row
+    a slice, whatever the number of batches.
     """
-    rows = batch_gradients(net, edges, nodes, seed)
-    added = rows.select("n", "loss", F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("g").alias("g")).toPandas().sort_values("at")
-    if not len(added):
-        return net, 0.0, 0
-    n, loss = int(added["n"].iloc[0]), float(added["loss"].iloc[0])
-    return net.like(adam.step(net.flat(), added["g"].to_numpy() / max(1, n))), loss, n
+
+    def own(batches):
+        n, loss, g = 0, 0.0, None
+        for batch in batches:
+            for one, part, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                n, loss, flat = n + one, loss + part, flat.values.to_numpy()
+                g = flat.copy() if g is None else g + flat
+        if g is not None:
+            pieces = [g[at : at + SLICE] for at in range(0, len(g), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array([n] * len(pieces), pa.int64()), pa.array([loss] * len(pieces)), pa.array(pieces, pa.list_(pa.float64()))], names=["at", "n", "loss", "g"])
+
+    def add(key, table):
+        copies = table.column("g").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        n, loss = sum(table.column("n").to_pylist()), sum(table.column("loss").to_pylist())
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "loss": pa.array([loss]), "g": pa.array([copies.sum(0)], pa.list_(pa.float64()))})
+
+    shape = "at long, n long, loss double, g array<double>"
+    found = rows.select("n", "loss", "g").mapInArrow(own, shape).groupBy("at").applyInArrow(add, shape).toPandas().sort_values("at")
+    if not len(found):
+        return 0, 0.0, np.zeros(0)
+    return int(found["n"].iloc[0]), float(found["loss"].iloc[0]), np.concatenate(found["g"].to_list())
+
+
+def step(net: Network, adam: Adam, edges: DataFrame, nodes: DataFrame, seed: int | None = None) -> tuple[Network, float, int]:
+    """One step of Adam on the mean loss over all batches given: (network, summed loss, seeds). No batch, no step."""
+    n, loss, g = added_gradients(batch_gradients(net, edges, nodes, seed))
+    return (net.like(adam.step(net.flat(), g / n)) if n else net), loss, n

@@ -69,3 +69,13 @@ def test_steps_lower_the_loss(spark):
             net, loss, n = networks.step(net, adam, edges, nodes)
             losses.append(loss / n)
         assert losses[-1] < losses[0]
+
+
+def test_gradients_are_added_up_by_slices(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 2, 0.5, [float(i), 1.0, -float(i)]) for i in range(9)], "batch long, n long, loss double, g array<double>").repartition(4)
+    for size in (2, 4096):
+        monkeypatch.setattr(networks, "SLICE", size)
+        n, loss, g = networks.added_gradients(rows)
+        assert (n, loss, g.tolist()) == (18, 4.5, [36.0, 9.0, -36.0])
+    n, loss, g = networks.added_gradients(rows.where("batch < 0"))
+    assert (n, loss, len(g)) == (0, 0.0, 0)
