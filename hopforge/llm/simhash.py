@@ -9,12 +9,14 @@ where many fingerprints meet are linked in blocks, which report a spanning
 forest and not their pairs; where even these would be too many, through the
 points within half the radius. Links then become components.
 
-The pipeline's near copies are found by bands of smallest shingle hashes and
-verified by the exact Jaccard similarity of their shingle hashes.
+The pipeline's near copies are found the same way, by longer fingerprints of
+their shingle sets whose segments are the keys of more tables, and verified by
+the exact Jaccard similarity of their shingle hashes.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -25,17 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopforge.llm.components import components
-from hopforge.llm.support import cut, fresh, groups_of, small, table, texts
+from hopforge.llm.support import cut, fresh, groups_of, mixed, small, table, texts
 
 #: A bucket with more entries or probes than these is linked in blocks of BLOCK fingerprints; its keys are dealt over SALTS parts of a join.
 CROWDED, PROBED, BLOCK, SALTS = 32, 1024, 4096, 64
 #: Segments of a fingerprint and how many of them make a key, shortest keys first: of 21, 26 and 32 bits.
 SCHEMES = ((3, 1), (5, 2), (6, 3))
-#: Near copies: bands, minima a band, and the hash orders whose minima they are.
-BANDS, ROWS = 12, 4
-ORDERS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
-#: Up to FEW nodes of a band are verified by pairs, more in blocks of SETS.
-FEW, SETS = 8, 512
+#: Near copies: bits of a fingerprint that are compared whole, evenly spread entries of a bucket, and the share of pairs that all tables miss.
+WHOLE, ROOMY, MISSED = 128, 256, 0.005
+#: Nodes of a block in which all pairs are verified.
+SETS = 512
 
 
 def fingerprint(text: bytes | None, shingle_words: int) -> int:
@@ -93,13 +94,14 @@ def ball(bits: int, radius: int) -> list[int]:
 
 
 def spanning_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (indices) that connect all fingerprints connected by links within the radius."""
+    """Links (indices) that connect all fingerprints, of a word or a row of words each, connected by links within the radius."""
     left, out = np.arange(len(prints)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[at]) <= radius
+            far = np.bitwise_count(prints[left] ^ prints[at])
+            near = (far if far.ndim == 1 else far.sum(1)) <= radius
             if near.any():
                 reached = left[near].tolist()
                 out += [(at, x) for x in reached]
@@ -198,12 +200,113 @@ def shingles(text: bytes | None, shingle_words: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + n]), 42) for i in range(len(words) - n + 1)], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of ROWS minima of the shingle hashes, each in another order."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, ((hashes[at : at + (1 << 12)] ^ ORDERS[0][:, None]) * ORDERS[1][:, None]).min(1))
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The 64 * words bits of the SimHash of a set of shingle hashes, each hash mixed anew for each word."""
+    ones, salts = np.zeros(64 * words, np.int64), np.arange(words, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for at in range(0, len(hashes), 255):  # counts of up to 255 fit into a byte
+        some = mixed(hashes[at : at + 255, None] + salts).astype("<u8").view(np.uint8)
+        ones += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return 2 * ones > len(hashes)
+
+
+def search_for(n: int, similarity: float) -> tuple[int, int, int]:
+    """(bits of a key, tables, radius over WHOLE bits) that find n texts' pairs of a similarity.
+
+    Sets of Jaccard similarity s have a cosine of 2s / (1 + s) or more, and
+    their fingerprints differ in a bit with a chance of its angle by pi. Keys
+    grow with n, so that a bucket holds ROOMY of evenly spread fingerprints at
+    most, and tables with the keys, so that a pair misses all with a chance of
+    MISSED. The radius leaves out differences 3.6 deviations above the mean.
+    """
+    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    bits = max(12, math.ceil(math.log2(max(1, n) / ROOMY)))
+    met = (1 - differ) ** bits
+    count = 1 if met == 1 else math.ceil(math.log(MISSED) / math.log1p(-met))
+    return bits, count, math.ceil(WHOLE * differ + 3.6 * math.sqrt(WHOLE * differ * (1 - differ)))
+
+
+def table_keys(print_: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The key in each of ``count`` tables: its number and its own segment of the fingerprint."""
+    return print_[: bits * count].reshape(count, bits) @ (1 << np.arange(bits)) + (np.arange(count) << bits)
+
+
+def close_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """As spanning_forest; those close to no other are sorted out before."""
+    n = len(prints)
+    close, step = np.zeros(n, bool), max(1, (1 << 18) // n)
+    for at in range(0, n, step):
+        far = np.zeros((min(step, n - at), n), np.uint8)
+        for word in prints.T:
+            far += np.bitwise_count(word[at : at + step, None] ^ word)
+        close[at : at + step] = (far <= radius).sum(1) > 1
+    some = np.flatnonzero(close)
+    return [(int(some[i]), int(some[j])) for i, j in spanning_forest(prints[some], radius)] if len(some) else []
+
+
+def _buckets(batches, most: int):
+    """(columns, whole) of each bucket in rows sorted by the first column.
+
+    A bucket of more than ``most`` rows comes in pieces that aren't whole, so
+    it's never held.
+    """
+    held, over = None, None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(now[0]):
+            continue
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        edges = [0, *(np.flatnonzero(now[0][1:] != now[0][:-1]) + 1).tolist(), len(now[0])]
+        for lo, hi in zip(edges[:-2], edges[1:-1], strict=True):
+            part = [c[lo:hi] for c in now]
+            yield part, hi - lo <= most and part[0][0] != over
+        held = [c[edges[-2] :] for c in now]
+        if len(held[0]) > most or held[0][0] == over:
+            yield held, False
+            held, over = None, now[0][-1]
+    if held is not None:
+        yield held, True
+
+
+def _close(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of nodes that share a key and whose prints are within the radius: enough links for all components.
+
+    nodes has node, its keys, and the first WHOLE bits of its fingerprint as p and q.
+    """
+    # In order of nodes, so that the buckets of all tables link their nodes to the same few smallest ones.
+    found = nodes.select(F.explode("keys").alias("key"), "node", "p", "q").repartition("key").sortWithinPartitions("key", "node")
+
+    def links(batches, most=BLOCK):
+        a, b = [], []
+
+        def out(columns):
+            names = ["a", "b", "key", "p", "q"]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if c is not None else pa.nulls(len(columns[0]), pa.int64()) for c in columns], names=names)
+
+        for (keys, names, p, q), whole in _buckets(batches, most):
+            if not whole:
+                yield out([names, None, keys, p, q])
+            elif len(names) > 1:
+                linked = np.array(close_forest(np.stack([p, q], axis=1).view(np.uint64), radius), np.int64).reshape(-1, 2)
+                a.append(names[linked[:, 0]])
+                b.append(names[linked[:, 1]])
+                if len(a) >= 1000:
+                    yield out([np.concatenate(a), np.concatenate(b), None, None, None])
+                    a, b = [], []
+        if a:
+            yield out([np.concatenate(a), np.concatenate(b), None, None, None])
+
+    schema = "a long, b long, key long, p long, q long"
+    found = cut(found.mapInArrow(links, schema))
+    linked, crowded = found.where("key IS NULL").select("a", "b"), found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "p", "q")
+    if not crowded.take(1):
+        return linked
+    # A crowded bucket is dealt into blocks, and each pair of blocks is linked once.
+    sized = crowded.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = crowded.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "p", "q")
+    more = dealt.repartition("group").sortWithinPartitions("group", "node").mapInArrow(lambda batches: links(batches, 1 << 40), schema)
+    return linked.unionByName(more.select("a", "b"))
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -232,21 +335,17 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """(a, b) of nodes that share a band and are similar: enough links for all components.
+def _similar(docs: DataFrame, nodes: DataFrame, radius: int, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b) of nodes that the fingerprints find and that are similar: enough links for all components.
 
     docs has (doc_id, text, copy); nodes has the doc_id and copy that stand for
-    each node, and its bands. Only nodes that share a band have their shingles
-    held, worked out once more from the texts.
+    each node, its keys and bits. What the fingerprints connect is a group, in
+    which all pairs are verified. Only grouped nodes have their shingles held,
+    worked out once more from the texts.
     """
-    met = cut(nodes.select("node", F.explode("bands").alias("band")))
-    sized = met.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    # The same nodes often meet in many bands; one of these tells all.
-    sized = cut(sized.groupBy("n", "members").agg(F.min("band").alias("band")))
-    own = met.join(sized.where(F.col("n") <= FEW), "band").select("band", "node")
-    pairs = own.join(own.withColumnRenamed("node", "b"), "band").where("node < b").select(F.col("node").alias("a"), "b").distinct()
-    found = met.join(sized, "band").select("node").distinct()
-    who = nodes.join(found, "node", "left_semi").select("node", F.col("doc_id").alias("id_"), F.col("copy").alias("copy_"))
+    roots = components(_close(nodes, radius))
+    grouped = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    who = nodes.join(grouped, "node", "left_semi").select("node", F.col("doc_id").alias("id_"), F.col("copy").alias("copy_"))
 
     def again(batches):
         for batch in small(batches):
@@ -254,24 +353,13 @@ def _similar(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["node", "shingles"])
 
     own_texts = docs.join(who, docs["doc_id"].eqNullSafe(who["id_"]) & (docs["copy"] == who["copy_"])).select("node", "text")
-    held = cut(own_texts.mapInArrow(again, "node long, shingles binary").dropDuplicates(["node"]))
-    left, right = (held.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
-
-    def verify(batches):
-        for batch in small(batches):
-            one, two = ([np.frombuffer(x, "<u8") for x in batch.column(i).to_pylist()] for i in (2, 3))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True)], np.int64)
-            every = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64) - both
-            keep = pa.array(both >= similarity * every - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
-
-    few = pairs.join(left, "a").join(right, "b").select("a", "b", "as", "bs").mapInArrow(verify, "a long, b long")
+    held = own_texts.mapInArrow(again, "node long, shingles binary").dropDuplicates(["node"])
 
-    # What meets in larger buckets is dealt into blocks, and each pair of blocks is linked once.
-    many = met.join(sized.where(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / SETS).cast("int")), "band")
+    # A large group is dealt into blocks, and each pair of blocks is linked once.
+    sized = grouped.groupBy("root").agg(F.ceil(F.count("*") / SETS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = many.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node").join(held, "node").select("group", "node", "shingles")
+    dealt = grouped.join(sized, "root").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node").join(held, "node").select("group", "node", "shingles")
 
     def forests(batches):
         for _, run in groups_of((part for batch in batches for part in small([batch])), 0):
@@ -279,39 +367,45 @@ def _similar(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity:
             found = np.array(similar_forest([np.frombuffer(x, "<u8") for x in run["shingles"].to_pylist()], similarity), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(names[found[:, i]]) for i in (0, 1)], names=["a", "b"])
 
-    return few.unionByName(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(forests, "a long, b long"))
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(forests, "a long, b long")
 
 
 def _components(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """A row per document: doc_id, copy (a hash of its text), node (of its shingles), root (of its component) and component_id."""
+    bits, count, radius = search_for(docs.count(), similarity)
+    words = max(WHOLE // 64, -(-bits * count // 64))
 
     def run(batches):
         for batch in small(batches):
             every = [shingles(t, shingle_words) for t in texts(batch.column(1))]
             node = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in every]
-            bands = [band_keys(x).tolist() if len(x) else [] for x in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "copy", "node", "bands"])
+            prints = [long_fingerprint(x, words) for x in every]
+            keys = [table_keys(f, bits, count) if len(x) else [] for x, f in zip(every, prints, strict=True)]
+            p, q = (pa.array([np.packbits(f[at : at + 64], bitorder="little").view("<i8")[0] for f in prints], pa.int64()) for at in (0, 64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), p, q], names=["doc_id", "copy", "node", "keys", "p", "q"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
-    marked = docs.mapInArrow(run, "doc_id long, copy long, node long, bands array<long>")
+    marked = docs.mapInArrow(run, "doc_id long, copy long, node long, keys array<long>, p long, q long")
     marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))
     prints = cut(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
     # Of equal shingle sets one row stands for all.
     nodes = marked.join(prints.select("row"), "row", "left_semi")
-    roots = components(_similar(docs, nodes, shingle_words, similarity))
+    roots = components(_similar(docs, nodes, radius, shingle_words, similarity))
     return _named(marked.select("doc_id", "copy", "node"), prints.select("node", "first"), roots)
 
 
 def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """A row per document: doc_id, component_id, by the Jaccard similarity of the texts' sets of word shingles.
 
-    Texts of equal sets are one node. Nodes that share one of BANDS keys, each
-    of ROWS smallest shingle hashes, are found: a pair of similarity 0.8 with
-    a chance of 1 - (1 - 0.8^4)^12 = 0.998, and no pair is linked unless the
-    exact similarity of its 64-bit shingle hashes is at least ``similarity``.
-    A text of fewer words is one shingle; texts without words are copies of
-    each other. component_id is the smallest doc_id reachable over links.
-    Other cases as in near_duplicates.
+    Texts of equal sets are one node. Near copies are found by SimHash and
+    multi-index hashing: a set's fingerprint has a segment for each of the
+    tables, and nodes that share a table's key and differ by few of the first
+    WHOLE bits are close. 36 tables of 12 bits find a pair of similarity 0.8
+    with a chance of 0.995, less in sets of some ten shingles. No pair is
+    linked unless the exact similarity of its 64-bit shingle hashes is at
+    least ``similarity``. A text of fewer words is one shingle; texts without
+    words are copies of each other. component_id is the smallest doc_id
+    reachable over links. Other cases as in near_duplicates.
     """
     return _components(docs, shingle_words, similarity).select("doc_id", "component_id")
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -127,3 +128,57 @@ def test_large_groups_of_near_copies_are_linked_in_blocks(spark, monkeypatch):
     w = [f"w{i}" for i in range(200)]
     docs = [(i, " ".join(w[:at] + [f"new{i}"] + w[at + 1 :])) for i in range(300) for at in [rnd.randrange(200)]]
     assert {r.component_id for r in near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {0}
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_fingerprints_of_one_table_and_few_bits_apart_are_close(spark, monkeypatch, block):
+    from hopforge.llm import simhash
+    from hopforge.llm.components import components
+
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = random.Random(8)
+    bits, count, radius = simhash.search_for(1000, 0.8)
+    assert (bits, count, radius) == (12, 36, 34) and simhash.search_for(10**8, 0.8)[0] > 12
+    nodes = []
+    for _ in range(12):
+        center = [rnd.random() < 0.5 for _ in range(448)]
+        for _ in range(rnd.choice([1, 2, 30])):
+            f = np.array([x ^ (rnd.random() < 0.15) for x in center])
+            p, q = (int(np.packbits(f[at : at + 64], bitorder="little").view("<i8")[0]) for at in (0, 64))
+            nodes.append((len(nodes), simhash.table_keys(f, bits, count).tolist(), p, q))
+    root = list(range(len(nodes)))
+    for i, (_, keys, p, q) in enumerate(nodes):
+        for j, (_, others, r, s) in enumerate(nodes[:i]):
+            if set(keys) & set(others) and sum((x & (1 << 64) - 1).bit_count() for x in (p ^ r, q ^ s)) <= radius and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert len(set(root)) < len(root) / 2
+    frame = spark.createDataFrame(nodes, "node long, keys array<long>, p long, q long")
+    found = {r.node: r.root for r in components(simhash._close(frame, radius)).collect()}
+    assert [found.get(i, i) for i in range(len(nodes))] == root
+
+
+def test_near_dedup_searches_by_simhash(spark, monkeypatch):
+    """Texts are found through their fingerprints, and through nothing beside them."""
+    from hopforge.llm import simhash
+
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")
+    kept = lambda: [r.doc_id for r in P.near_dedup(spark, docs, SF).collect()]
+    assert kept() == [1]
+    monkeypatch.setattr(simhash, "long_fingerprint", lambda hashes, words: np.random.default_rng(len(hashes)).random(64 * words) < 0.5)
+    assert sorted(kept()) == [1, 2]
+
+
+@pytest.mark.parametrize("kind", ["block", "end", "short"])
+def test_near_copies_of_other_edits_are_found(spark, kind):
+    rnd = random.Random(kind)
+    new = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    while len(docs) < 400:
+        w = new(rnd.randrange(12, 30) if kind == "short" else rnd.randrange(100, 400))
+        at, n = rnd.randrange(len(w)), int(len(w) * rnd.uniform(0.05, 0.12))
+        v = w[:at] + new(n) + w[at + n :] if kind == "block" else w + new(rnd.randrange(1, 4) if kind == "short" else 2 * n)
+        if 0.8 <= jaccard(" ".join(w), " ".join(v)) <= 0.84:
+            docs += [(len(docs), " ".join(w)), (len(docs) + 1, " ".join(v))]
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 400, 2)) >= (180 if kind == "short" else 196)
