@@ -335,6 +335,18 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
+def _fewer(links: DataFrame) -> DataFrame:
+    """(a, b): each a linked to the smallest of its bs, and the other bs to it; components stay as they are.
+
+    The tables differ in who is in a bucket, so a node of a large group is
+    linked to several of the smallest ones; links among those few are equal.
+    """
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    among = links.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return least.select("a", F.col("m").alias("b")).unionByName(among.distinct())
+
+
 def _similar(docs: DataFrame, nodes: DataFrame, radius: int, shingle_words: int, similarity: float) -> DataFrame:
     """(a, b) of nodes that the fingerprints find and that are similar: enough links for all components.
 
@@ -343,7 +355,7 @@ def _similar(docs: DataFrame, nodes: DataFrame, radius: int, shingle_words: int,
     which all pairs are verified. Only grouped nodes have their shingles held,
     worked out once more from the texts.
     """
-    roots = components(_close(nodes, radius))
+    roots = components(_fewer(_close(nodes, radius)))
     grouped = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
     who = nodes.join(grouped, "node", "left_semi").select("node", F.col("doc_id").alias("id_"), F.col("copy").alias("copy_"))
 

@@ -182,3 +182,16 @@ def test_near_copies_of_other_edits_are_found(spark, kind):
             docs += [(len(docs), " ".join(w)), (len(docs) + 1, " ".join(v))]
     got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert sum(got[i] == got[i + 1] for i in range(0, 400, 2)) >= (180 if kind == "short" else 196)
+
+
+def test_fewer_links_connect_the_same(spark):
+    from hopforge.llm.components import components
+    from hopforge.llm.simhash import _fewer
+
+    rnd = random.Random(2)
+    pairs = [(x, c) for x in range(100, 400) for c in rnd.sample(range(6), 4)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(80)]
+    links = spark.createDataFrame([p if rnd.random() < 0.5 else p[::-1] for p in pairs if p[0] != p[1]], "a long, b long")
+    fewer = _fewer(links)
+    roots = lambda df: {r.node: r.root for r in components(df).collect()}
+    assert fewer.where("a < 1000").count() <= 300 + 15
+    assert roots(fewer) == roots(links)
